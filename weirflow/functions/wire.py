@@ -32,8 +32,9 @@ def text(value: Column) -> Column:
 
 def whole_number(value: Column) -> Column:
     """The whole number that a text spells ("7", " 007", "7.0"), else null."""
-    number = text(value).try_cast("decimal(38,6)")
-    return F.when(number == F.floor(number), number).try_cast("bigint")
+    bare = F.btrim(value, F.lit(_BLANKS))
+    number = bare.try_cast("decimal(38,6)")
+    return F.coalesce(bare.try_cast("bigint"), F.when(number == F.floor(number), number).try_cast("bigint"))
 
 
 def epoch_us(value: Column) -> Column:
@@ -42,12 +43,12 @@ def epoch_us(value: Column) -> Column:
     Bare digits are epoch milliseconds, an offset or zone is honoured, a time without one is UTC.
     Null, empty and unreadable texts give null.
     """
-    bare = text(value)
-    zoned = bare.rlike(r"(?i)(z|utc|gmt|[+-]\d{1,2}:?\d{0,2})$") & bare.rlike(r":\d\d")
-    clock = F.when(zoned, bare).when(bare.rlike(r"^\d+-\d+-\d+$"), bare).otherwise(F.concat(bare, F.lit("Z")))
-    return F.when(bare.rlike(r"^\d+$"), bare.try_cast("bigint") * 1000).otherwise(
-        F.unix_micros(clock.try_cast("timestamp"))
-    )
+    bare = F.btrim(value, F.lit(_BLANKS))
+    sign = lambda at: F.substring(bare, at, 1).isin("+", "-")
+    offset = (F.length(bare) > 16) & (sign(-6) | sign(-5) | sign(-3))
+    zoned = F.upper(F.substring(bare, -1, 1)).isin("Z", "C", "T") | offset
+    clock = F.when(zoned, bare).when(F.length(bare) <= 10, F.concat(bare, F.lit(" 00:00:00Z"))).otherwise(F.concat(bare, F.lit("Z")))
+    return F.coalesce(bare.try_cast("bigint") * 1000, F.unix_micros(clock.try_cast("timestamp")))
 
 
 def us_of(timestamp: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import wire
 from weirflow.operators.scan import running
+from weirflow.sources.tables import stored
 
 WEEK_US = 7 * 86_400_000_000
 
@@ -89,7 +90,8 @@ def orphans(children: DataFrame, parents: DataFrame, block_us: int = WEEK_US) ->
         .unionByName(children.withColumn("tag", F.lit(1)), allowMissingColumns=True)
         .withColumn("block", block)
     )
-    seen = running(long, ["model", "target_id"], "block", ["received_us", "tag"], "state", "latest")
+    # Both passes of the scan below would parse the texts again.
+    seen = running(stored(long, "references"), ["model", "target_id"], "block", ["received_us", "tag"], "state", "latest")
     return seen.where((F.col("tag") == 1) & (F.coalesce(F.pmod("latest", F.lit(2)), F.lit(1)) == 1))
 
 
