@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.llm import leak
+from weirflow.llm import leak, mix, spans
 from weirflow.sources.tables import table
 
 
@@ -16,7 +16,25 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p6_leaks)}
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
-# Word matching with changed, added and missing words has no SQL worth its time; tests/llm hold it against brute force.
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.covered(table(spark, sf_dir, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return spans.shares(documents, spans.covered(documents))
+
+
+QUERIES = {q.__name__: q for q in (p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
+
+# Tokens of a tokenizer, word matching with changed, added and missing words, and maximal shared
+# spans over all pairs have no SQL that ends on whole tables; tests/llm hold them against brute force.
 ORACLES: dict[str, str] = {}
