@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.llm.batches import small
 from weirflow.sources.tables import stored
 
 MIN_WORDS = 18  # words of a passage, in order and in one place, that make a case
@@ -27,7 +28,7 @@ RARE_HITS = 6  # of these, at least so many must be among the terms that are loo
 MAX_GAP = 8  # words that may lie between two words that follow each other in a match
 SHARED_BY = 3  # items that share eight words in a row have them from an instruction
 INSTRUCTION_WORDS = 8
-MAX_BROADCAST_TERMS = 2_000_000  # beyond so many different test terms the index isn't restricted on the way in
+MAX_BROADCAST_TERMS = 500_000  # beyond so many different test terms the index isn't restricted on the way in
 
 _SPLIT_WORD = re.compile(r"(?<=\w)(?:\\-|[-\u00ad\u2010\u2011])(?:[ \t]*[\r\n]+[ \t%]*)?(?=\w)")
 _COMMAND = re.compile(r"\\[a-zA-Z@]+\*?")
@@ -133,11 +134,12 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     one document whose positions lie over each other. Items of fewer than MIN_WORDS own words, null
     and empty texts never match; empty tables give an empty result.
     """
+    small(documents.sparkSession)
     own = stored(passages(items), "passages")
     # The test set is a bounded query set; if it isn't, the index takes all terms and joins shuffle.
     n_terms = own.select("term").distinct().count()
-    small = n_terms <= MAX_BROADCAST_TERMS
-    terms = frozenset(r.term for r in own.select("term").distinct().toLocalIterator()) if small else None
+    bounded = n_terms <= MAX_BROADCAST_TERMS
+    terms = frozenset(r.term for r in own.select("term").distinct().toLocalIterator()) if bounded else None
     index = stored(postings(documents, terms), "postings")
 
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))

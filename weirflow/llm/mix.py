@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.llm.batches import small
 from weirflow.sources.tables import stored
 
 BLOCK_DOCUMENTS = 4096  # documents of a source in a block, about
@@ -165,6 +166,7 @@ def mix(
     is partitioned. A source's size misses its budget by half a document at most. Repeated rows of a
     document are documents of their own. Empty tables give an empty result.
     """
+    small(documents.sparkSession)
     listed = targets.where(source_key().isNotNull() & F.col("target_share").isNotNull()).select(
         source_key().alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")
     )
