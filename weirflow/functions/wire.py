@@ -48,7 +48,9 @@ def epoch_us(value: Column) -> Column:
     offset = (F.length(bare) > 16) & (sign(-6) | sign(-5) | sign(-3))
     zoned = F.upper(F.substring(bare, -1, 1)).isin("Z", "C", "T") | offset
     clock = F.when(zoned, bare).when(F.length(bare) <= 10, F.concat(bare, F.lit(" 00:00:00Z"))).otherwise(F.concat(bare, F.lit("Z")))
-    return F.coalesce(bare.try_cast("bigint") * 1000, F.unix_micros(clock.try_cast("timestamp")))
+    # Without this a bare clock time, or nothing, would be read as one of today.
+    dated = F.when(F.substring(bare, 5, 1) == "-", clock)
+    return F.coalesce(bare.try_cast("bigint") * 1000, F.unix_micros(dated.try_cast("timestamp")))
 
 
 def us_of(timestamp: Column) -> Column:
