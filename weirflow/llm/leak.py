@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -119,9 +119,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, item, length, hits in zip(*(batch[c].to_pylist() for c in ("doc_id", "item_id", "length", "hits"))):
-            n, first, last = chain([(d, h["pos"]) for h in hits for d in h["positions"]])
+            found = [(d, h["pos"]) for h in hits for d in h["positions"]]
+            n, first, last = chain(found)
             if n >= MIN_WORDS:
-                rows.append((doc, item, n, first, last, n == length == last - first + 1))
+                # Word for word: one offset that all words of the passage have.
+                exact = n == length and length in Counter(d - p for d, p in set(found)).values()
+                rows.append((doc, item, n, first, last, exact))
         columns = zip(*rows) if rows else [[] for _ in range(6)]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "n_words", "first_word", "last_word", "exact"])
