@@ -334,7 +334,7 @@ def _place_of(first: str, *rest: str) -> Column:
 
 
 def local_changes(feed: DataFrame) -> DataFrame:
-    """Changed attributes of the accepted rows in long form: place, model, synced_id, attr, old, new (as JSON)."""
+    """Changed attributes of the accepted rows in long form: place, model, synced_id, attr, old, new (as text)."""
     each = F.from_json("changes", "map<string,array<string>>")
     return feed.where("accepted").select("place", "model", "synced_id", F.explode(each).alias("attr", "pair")).select(
         "place", "model", "synced_id", "attr", F.col("pair")[0].alias("old"), F.col("pair")[1].alias("new")
