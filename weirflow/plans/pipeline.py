@@ -51,6 +51,12 @@ def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.label(table(spark, sf_dir, "messages"))
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records by id and relation, with the id of the record that they lie in."""
+    found = nested.link(nested.label(table(spark, sf_dir, "messages")))
+    return found.select("message_id", "record_path", "relation", "record_id", "parent_id", "depth")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.due(table(spark, sf_dir, OUTBOX), table(spark, sf_dir, "outbox_runs")).select("run_no", "outbox_id")
 
@@ -89,7 +95,7 @@ def p5_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.select("producer", "lo", "hi")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_by_month, p2_found, p2_present, p3_found, p3_tables, p4_found, p4_per_run, p5_found, p5_seen)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_by_month, p2_found, p2_present, p3_found, p3_links, p3_tables, p4_found, p4_per_run, p5_found, p5_seen)}
 
 # --- the same in SQL -----------------------------------------------------------------------------
 
@@ -149,6 +155,26 @@ due AS (
   FROM spans s JOIN outbox_runs r ON r.topic = s.topic AND r.outcome = 'succeeded' AND r.began_at >= s.ready AND (s.until IS NULL OR r.began_at < s.until)
   WHERE NOT s.published GROUP BY s.id, s.updated_at)"""
 
+_NESTED = """WITH RECURSIVE texts AS (
+      SELECT message_id, CASE WHEN json_valid(message_value) THEN CASE WHEN json_type(message_value) = 'VARCHAR' THEN message_value ->> '$' ELSE message_value END END AS v FROM messages),
+    envelopes AS (SELECT message_id, json_extract(v, '$.message') AS m FROM texts WHERE json_valid(v) AND json_type(v) = 'OBJECT'),
+    lists AS (SELECT message_id, CASE json_type(m) WHEN 'ARRAY' THEN json_extract(m, '$[*]') WHEN 'OBJECT' THEN [m] END AS l FROM envelopes),
+    events AS (SELECT message_id, unnest(range(len(l))) AS e, unnest(l) AS x FROM lists WHERE l IS NOT NULL),
+    datas AS (SELECT message_id, e, json_extract(x, '$.data') AS d FROM events WHERE json_type(x) = 'OBJECT'),
+    datalists AS (SELECT message_id, e, CASE json_type(d) WHEN 'ARRAY' THEN json_extract(d, '$[*]') WHEN 'OBJECT' THEN [d] END AS l FROM datas),
+    tops AS (SELECT message_id, e, unnest(range(len(l))) AS p, unnest(l) AS r FROM datalists WHERE l IS NOT NULL),
+    records AS (
+      SELECT message_id, NULL::VARCHAR AS parent_path, e || '/' || p AS record_path, r, NULL::VARCHAR AS k, NULL::VARCHAR AS parent_id, 0 AS depth FROM tops WHERE json_type(r) = 'OBJECT'
+      UNION ALL
+      SELECT message_id, parent_path, record_path, c AS r, k, parent_id, depth + 1 AS depth FROM (
+        SELECT message_id, record_path AS parent_path, record_path || '/' || k || ':' || unnest(range(len(l))) AS record_path, unnest(l) AS c, k, parent_id, depth FROM (
+          SELECT message_id, record_path, k, parent_id, depth, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN [v] END AS l FROM (
+            SELECT message_id, record_path, k, r ->> '$.id' AS parent_id, depth, json_extract(r, '$."' || k || '"') AS v FROM (
+              SELECT message_id, record_path, r, depth, unnest(json_keys(json_extract(r, '$.links'))) AS k FROM records WHERE json_type(json_extract(r, '$.links')) = 'OBJECT') a
+            WHERE k <> 'links' AND json_exists(r, '$."' || k || '"')) b) g WHERE l IS NOT NULL) h
+      WHERE json_type(c) = 'OBJECT')
+"""
+
 ORACLES = {
     "p1_found": _ORPHANS + "SELECT record_no, relation, target_id FROM orphans",
     "p1_by_month": _ORPHANS + "SELECT model, strftime(received_at, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY 1, 2",
@@ -165,23 +191,6 @@ ORACLES = {
       WHERE i IS NOT NULL AND t IS NOT NULL) d WHERE n > 1""",
     "p5_seen": f"""SELECT DISTINCT lower(trim(model_name)) || ':' || {_id('synced_id')} AS producer, {_us('synced_updated_at')} AS lo, {_us('synced_updated_at')} AS hi
       FROM deserialized_records WHERE {_id('synced_id')} IS NOT NULL AND {_us('synced_updated_at')} IS NOT NULL""",
-    "p3_found": """WITH RECURSIVE texts AS (
-      SELECT message_id, CASE WHEN json_valid(message_value) THEN CASE WHEN json_type(message_value) = 'VARCHAR' THEN message_value ->> '$' ELSE message_value END END AS v FROM messages),
-    envelopes AS (SELECT message_id, json_extract(v, '$.message') AS m FROM texts WHERE json_valid(v) AND json_type(v) = 'OBJECT'),
-    lists AS (SELECT message_id, CASE json_type(m) WHEN 'ARRAY' THEN json_extract(m, '$[*]') WHEN 'OBJECT' THEN [m] END AS l FROM envelopes),
-    events AS (SELECT message_id, unnest(range(len(l))) AS e, unnest(l) AS x FROM lists WHERE l IS NOT NULL),
-    datas AS (SELECT message_id, e, json_extract(x, '$.data') AS d FROM events WHERE json_type(x) = 'OBJECT'),
-    datalists AS (SELECT message_id, e, CASE json_type(d) WHEN 'ARRAY' THEN json_extract(d, '$[*]') WHEN 'OBJECT' THEN [d] END AS l FROM datas),
-    tops AS (SELECT message_id, e, unnest(range(len(l))) AS p, unnest(l) AS r FROM datalists WHERE l IS NOT NULL),
-    records AS (
-      SELECT message_id, NULL::VARCHAR AS parent_path, e || '/' || p AS record_path, r FROM tops WHERE json_type(r) = 'OBJECT'
-      UNION ALL
-      SELECT message_id, parent_path, record_path, c AS r FROM (
-        SELECT message_id, record_path AS parent_path, record_path || '/' || k || ':' || unnest(range(len(l))) AS record_path, unnest(l) AS c FROM (
-          SELECT message_id, record_path, k, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN [v] END AS l FROM (
-            SELECT message_id, record_path, k, json_extract(r, '$."' || k || '"') AS v FROM (
-              SELECT message_id, record_path, r, unnest(json_keys(json_extract(r, '$.links'))) AS k FROM records WHERE json_type(json_extract(r, '$.links')) = 'OBJECT') a
-            WHERE k <> 'links' AND json_exists(r, '$."' || k || '"')) b) g WHERE l IS NOT NULL) h
-      WHERE json_type(c) = 'OBJECT')
-    SELECT message_id, parent_path, record_path FROM records WHERE parent_path IS NOT NULL""",
+    "p3_found": _NESTED + "SELECT message_id, parent_path, record_path FROM records WHERE parent_path IS NOT NULL",
+    "p3_links": _NESTED + "SELECT message_id, record_path, k AS relation, r ->> '$.id' AS record_id, parent_id, depth FROM records WHERE parent_path IS NOT NULL",
 }
