@@ -33,7 +33,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shares(documents, spans.covered(documents))
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares, p8_passages)}
 
 # Tokens of a tokenizer, word matching with changed, added and missing words, and maximal shared
 # spans over all pairs have no SQL that ends on whole tables; tests/llm hold them against brute force.
