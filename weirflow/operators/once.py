@@ -11,22 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.sources.tables import stored
+
 BLOCK = 1 << 20  # numbers in one block, the most that one window of a producer can hold
 
 RANGES = "producer string, block bigint, lo bigint, hi bigint"
 
 
-def _claims(messages: DataFrame, producer: Column, number: Column, arrival: str) -> DataFrame:
-    """The first arrival of every number; copies collapse before the shuffle."""
-    return (
-        messages.select(producer.alias("producer"), number.alias("number"), F.col(arrival).alias("arrival"))
-        .where("producer is not null and number is not null")
-        .groupBy("producer", "number")
-        .agg(F.min("arrival").alias("arrival"))
-        .withColumn("block", F.floor(F.col("number") / BLOCK))
-    )
-
-
 def accept(
     messages: DataFrame, producer: Column, number: Column, exact: Column, arrival: str, seen: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -37,8 +28,15 @@ def accept(
     of each `exact` text is accepted; a row without `exact` too is no message of which a copy could
     be told, and is always accepted. Empty tables give empty results.
     """
-    claims = _claims(messages, producer, number, arrival)
-    points = claims.select("producer", "block", F.col("number").alias("lo"), F.col("number").alias("hi"), "arrival")
+    readable = producer.isNotNull() & number.isNotNull()
+    # Reading identifiers costs more than keeping them, and they are needed three times.
+    read = messages.select(
+        F.col(arrival).alias("arrival"), F.when(readable, producer).alias("producer"), F.when(readable, number).alias("number"), F.when(~readable, exact).alias("exact")
+    )
+    read = stored(read, "identifiers")
+    # The first arrival of every number; copies collapse before the shuffle.
+    claims = read.where("producer is not null").groupBy("producer", "number").agg(F.min("arrival").alias("arrival"))
+    points = claims.select("producer", F.floor(F.col("number") / BLOCK).alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"), "arrival")
     if seen is not None:
         points = points.unionByName(seen.select("producer", "block", "lo", "hi", F.lit(None).cast("bigint").alias("arrival")))
     # A range of `seen` sorts before a number that it starts with, so the number counts as covered.
@@ -55,9 +53,9 @@ def accept(
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .drop("island")
     )
-    rest = messages.where(producer.isNull() | number.isNull())
-    looked_up = rest.where(exact.isNotNull()).groupBy(exact.alias("__exact")).agg(F.min(arrival).alias(arrival)).select(arrival)
-    unknown = rest.where(exact.isNull()).select(arrival)
+    rest = read.where("producer is null")
+    looked_up = rest.where("exact is not null").groupBy("exact").agg(F.min("arrival").alias(arrival)).select(arrival)
+    unknown = rest.where("exact is null").select(F.col("arrival").alias(arrival))
     return fresh.unionByName(looked_up).unionByName(unknown), ranges
 
 
