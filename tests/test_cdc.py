@@ -96,6 +96,8 @@ def test_transitions(spark):
 def test_changesets(spark):
     log = spark.createDataFrame([(1, 1, "a", None), (1, 2, "a", None), (1, 3, "b", 5), (1, 4, None, 5)], "id int, n int, name string, size int")
     seen = classify.with_previous(log, ["id"], ["n"], ["name", "size"])
+    blocks = classify.with_previous(log, ["id"], ["n"], ["name", "size"], block=F.floor(F.col("n") / 2))
+    assert sorted(blocks.select(seen.columns).collect(), key=str) == sorted(seen.collect(), key=str)
     assert [r.n for r in seen.where(classify.changed(["name", "size"])).orderBy("n").collect()] == [1, 3, 4]
     long = {(r.n, r.attr): (r.old, r.new) for r in classify.long_changes(seen, ["n"], ["name", "size"]).collect()}
     assert long == {(1, "name"): (None, "a"), (3, "name"): ("a", "b"), (3, "size"): (None, "5"), (4, "name"): ("b", None)}
@@ -165,6 +167,7 @@ def test_aggregate_keeps_roots_and_null_fields(spark):
     got = {r.key: json.loads(r.j) for r in found.select("key", snapshot.to_json(F.col("record")).alias("j")).collect()}
     assert got[1] == {"id": 1, "name": "ab", "size": 2, "links": {"account": 7, "taxes": [11, 12]}, "taxes": [{"id": 11}, {"id": 12}], "account": {"id": 7, "name": "x"}}
     assert got[2] == {"id": 2, "name": None, "size": None, "links": {"account": None, "taxes": []}, "taxes": [], "account": None}
+    assert [json.loads(r.record) for r in snapshot.raw(accounts).collect()] == [{"id": 7, "name": "x"}]
     assert json.loads(spark.range(1).select(snapshot.deleted(F.lit('a"b'))).collect()[0][0]) == {"id": 'a"b', "links": {}}
 
 
@@ -321,6 +324,76 @@ def test_consumer_end_to_end(spark):
     assert sorted(r.accepted for r in feed2.collect()) == [False, True]
 
 
+def _walk(state, feed, specs, model, record, place, root, kind):
+    """One record and what lies in it, depth first."""
+    if not isinstance(record.get("id"), int):
+        return
+    key, spec = (model, record["id"]), specs[model]
+    old = state.get(key)
+    us = lambda c: None if record.get(c) is None else int(record[c])
+    time = us("updated_at") if us("updated_at") is not None else us("created_at")
+    if old and old["updated_at"] is not None and time is not None and time < old["updated_at"]:
+        feed[place] = False
+        return
+    feed[place] = True
+    new = dict(old or {"created_at": None, "updated_at": None, "canceled_at": None})
+    new |= {c: us(c) for c in new if c in record}
+    if kind == "destroyed" and root and "canceled_at" not in record:
+        new["canceled_at"] = time
+    elif kind != "destroyed" and "canceled_at" not in record:
+        new["canceled_at"] = None
+    state[key] = new
+    links = record.get("links", {})
+    for many in (True, False):
+        for name, link in links.items():
+            inner = record.get(name)
+            if isinstance(link, list) != many or inner is None:
+                continue
+            target = {"bookings": "Booking", "client": "Client"}.get(name) or link["type"]
+            for i, r in enumerate(inner if isinstance(inner, list) else [inner]):
+                _walk(state, feed, specs, target, r, f"{place}/{0 if many else 1}/{target if name == 'owner' else name}/{i:012}", False, kind)
+                if not many:
+                    break
+
+
+def test_consumer_matches_a_depth_first_run(spark):
+    rng = random.Random(21)
+    specs = {m: ModelSpec(m) for m in ("Rental", "Booking", "Client")}
+    stamp = lambda: rng.randrange(1, 60)
+
+    def record(model):
+        r = {"id": rng.randrange(4), "updated_at": stamp(), "name": rng.choice("xyz")}
+        if rng.random() < 0.2:
+            r["canceled_at"] = rng.choice([None, stamp()])
+        if rng.random() < 0.3:
+            r["created_at"] = stamp()
+        links = {}
+        if model == "Rental":
+            links = {"bookings": [1, 2], "owner": {"type": "Client", "id": 1}}
+            if rng.random() < 0.7:
+                r["bookings"] = [record("Booking") for _ in range(rng.randrange(3))]
+            if rng.random() < 0.5:
+                r["owner"] = record("Client")
+        if model == "Booking":
+            links = {"client": 1}
+            if rng.random() < 0.5:
+                r["client"] = record("Client")
+        return r | {"links": links}
+
+    messages, state, feed = [], {}, {}
+    for n in range(120):
+        model, kind = rng.choice(list(specs)), rng.choice(["created", "updated", "updated", "destroyed"])
+        data = [record(model) for _ in range(rng.randrange(1, 3))]
+        messages.append(_message(f"x_{kind}", *data, model=model))
+        for i, r in enumerate(data):
+            _walk(state, feed, specs, model, r, f"{n:012}/{0:012}/{i:012}", True, kind)
+    got_state, got_feed, _ = _consume(spark, messages, list(specs.values()))
+    assert {r.place: r.accepted for r in got_feed.collect()} == feed and len(feed) > 150
+    got = {(r.model, r.synced_id): (r.created_us, r.updated_us, r.canceled_us) for r in got_state.collect()}
+    ms = lambda v: None if v is None else v * 1000
+    assert got == {k: (ms(s["created_at"]), ms(s["updated_at"]), ms(s["canceled_at"])) for k, s in state.items()}
+
+
 def test_bulk_models_bypass_the_gate(spark):
     messages = [_message("rental_created", {"id": 1, "updated_at": "2025-01-02", "links": {}}), _message("rental_created", {"id": 1, "updated_at": "2025-01-01", "links": {}}), _message("rental_destroyed", {"id": 2, "links": {}})]
     state, feed, _ = _consume(spark, messages, [ModelSpec("Rental", bulk=True)])

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.operators.scan import running
 
-def with_previous(log: DataFrame, keys: list[str], order: list[str], columns: list[str], prefix: str = "old_") -> DataFrame:
+
+def with_previous(log: DataFrame, keys: list[str], order: list[str], columns: list[str], prefix: str = "old_", block: Column | None = None) -> DataFrame:
     """Each version beside the one before it: adds old_<column> and is_first.
 
-    A key's versions come together in one task; they are sorted there and may spill.
+    With `block`, which must rise with `order`, a key with very many versions is spread over its
+    blocks; then `order` must be total and its first column not null. Else a key's versions are sorted in one task.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.lag(F.struct(*columns)).over(w)
-    seen = log.withColumn("__before", before).withColumn("is_first", F.col("__before").isNull())
+    row = F.struct(*columns)
+    if block is None:
+        seen = log.withColumn("__before", F.lag(row).over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        marked = log.withColumn("__block", block).withColumn("__state", F.struct(*order, row.alias("row")))
+        seen = running(marked, keys, "__block", order, "__state", "__before", inclusive=False).withColumn("__before", F.col("__before.row")).drop("__block", "__state")
+    seen = seen.withColumn("is_first", F.col("__before").isNull())
     return seen.withColumns({prefix + c: F.col(f"__before.{c}") for c in columns}).drop("__before")
 
 

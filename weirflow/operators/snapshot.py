@@ -53,6 +53,11 @@ def aggregate(
     return base.select("key", F.struct("own.*", link.alias("links"), *embedded).alias("record"))
 
 
+def raw(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Messages without serializer: the whole row as JSON, for topics that don't serialize."""
+    return rows.select(F.col(key).alias("key"), to_json(F.struct(*rows.columns)).alias("record"))
+
+
 def deleted(key: Column) -> Column:
     """JSON of a record that is gone: its id and empty links."""
     return F.concat(F.lit('{"id":'), F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(',"links":{}}'))

@@ -278,7 +278,7 @@ def _log(spark, sf_dir):
         "name",
         F.col("event").endswith("destroyed").alias("gone"),
     ).where("model is not null and id is not null")
-    return classify.with_previous(log, ["model", "id"], ["arrival_no"], ["canceled", "account_id", "name"])
+    return classify.with_previous(log, ["model", "id"], ["arrival_no"], ["canceled", "account_id", "name"], block=F.floor(F.col("arrival_no") / (1 << 20)))
 
 
 _KINDS = """CASE WHEN gone THEN 'destroyed' WHEN is_first THEN 'created' WHEN old_canceled IS NOT NULL AND canceled IS NULL THEN 'created'
