@@ -66,8 +66,7 @@ def model_key(name: Column) -> Column:
 
 def model_name(name: Column, known: tuple[str, ...] = (*MODELS, ACCOUNT)) -> Column:
     """Canonical model name, null for a model that nobody knows."""
-    key = model_key(name)
-    return F.coalesce(*(F.when(key == m.lower(), F.lit(m)) for m in known))
+    return F.create_map(*(F.lit(x) for m in known for x in (m.lower(), m)))[model_key(name)]
 
 
 def event_kind(event: Column) -> Column:

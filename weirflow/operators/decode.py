@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.functions.binding import let
+
 # Keys of a record that are no plain attributes.
 RESERVED = ("links", "id", "created_at", "updated_at", "canceled_at")
 
@@ -70,57 +72,66 @@ def canonical(found: DataFrame, record: str = "record") -> DataFrame:
     where the link is an array, and named by the link's type where that is given; a relation that isn't
     embedded has null records.
     """
-    df = found.withColumn("__r", F.try_variant_get(record, "$", "map<string,variant>"))
-    df = df.withColumn("__l", F.coalesce(F.try_variant_get(F.col("__r")["links"], "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    entries = "array<struct<key:string,value:variant>>"
     null = F.lit(None).cast("variant")
     entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
     get = lambda v, path: F.try_variant_get(v, path, "variant")
 
     def of_link(e: Column) -> Column:
-        name, value, shape = e["key"], e["value"], _shape(e["value"])
+        name, value = e["key"], e["value"]
         prefix = F.concat(F.lit("synced_"), name)
         return (
-            F.when(shape == "object", F.array(entry(F.concat(prefix, F.lit("_id")), get(value, "$.id")), entry(F.concat(prefix, F.lit("_type")), get(value, "$.type"))))
-            .when(shape == "array", F.array(entry(F.concat(F.lit("synced_"), singular(name), F.lit("_ids")), value)))
+            F.when(e["shape"] == "object", F.array(entry(F.concat(prefix, F.lit("_id")), get(value, "$.id")), entry(F.concat(prefix, F.lit("_type")), get(value, "$.type"))))
+            .when(e["shape"] == "array", F.array(entry(F.concat(F.lit("synced_"), singular(name), F.lit("_ids")), value)))
             .otherwise(F.array(entry(F.concat(prefix, F.lit("_id")), value)))
         )
 
-    links = F.flatten(F.transform(F.map_entries("__l"), of_link))
-    plain = F.map_filter("__r", lambda k, _: ~k.isin(*RESERVED) & ~F.map_contains_key(F.col("__l"), k))
-    stamps = F.flatten(
-        F.array(
-            F.array(entry(F.lit("synced_id"), F.coalesce(F.col("__r")["id"], null))),
-            *(
-                F.when(F.map_contains_key("__r", F.lit(c)), F.array(entry(F.lit(f"synced_{c}"), F.col("__r")[c]))).otherwise(F.array().cast("array<struct<key:string,value:variant>>"))
-                for c in ("created_at", "updated_at", "canceled_at")
-            ),
-        )
-    )
-    # The last writer of a name wins: links, then stamps, then plain attributes.
-    df = df.withColumn("__p", plain).withColumn("__s", F.map_from_entries(stamps))
-    df = df.withColumn("__k", F.filter(links, lambda e: ~F.map_contains_key(F.col("__p"), e["key"]) & ~F.map_contains_key(F.col("__s"), e["key"])))
-    df = df.withColumn("__s", F.map_filter("__s", lambda k, _: ~F.map_contains_key(F.col("__p"), k)))
-    # Two links can make one name; the later one stands.
-    df = df.withColumn("__k", F.filter("__k", lambda e, i: ~F.exists(F.slice("__k", i + 2, F.size("__k")), lambda later: later["key"] == e["key"])))
-    many = F.filter(F.map_entries("__l"), lambda e: _shape(e["value"]) == "array")
-    one = F.filter(F.map_entries("__l"), lambda e: _shape(e["value"]) != "array")
-    inner = lambda name: F.col("__r")[name]
-    return (
-        df.withColumn("attributes", F.map_concat(F.map_from_entries("__k"), "__s", "__p"))
-        .withColumn("has_many", F.transform(many, lambda e: F.struct(e["key"].alias("name"), e["key"].alias("relation"), _listed(inner(e["key"])).alias("records"))))
-        .withColumn(
-            "has_one",
-            F.transform(
-                one,
-                lambda e: F.struct(
-                    F.coalesce(F.when(_shape(e["value"]) == "object", F.try_variant_get(e["value"], "$.type", "string")), e["key"]).alias("name"),
-                    e["key"].alias("relation"),
-                    F.try_element_at(_listed(inner(e["key"])), F.lit(1)).alias("record"),
+    def stamps(r: Column) -> Column:
+        own = [F.array(entry(F.lit("synced_id"), F.coalesce(r["id"], null)))]
+        for c in ("created_at", "updated_at", "canceled_at"):
+            own.append(F.when(F.map_contains_key(r, F.lit(c)), F.array(entry(F.lit(f"synced_{c}"), r[c]))).otherwise(F.array().cast(entries)))
+        return F.map_from_entries(F.flatten(F.array(*own)))
+
+    def named(r: Column, links: Column) -> Column:
+        """The last writer of a name wins: links (of two that make one name the later), then stamps, then plain attributes."""
+        plain = F.map_filter(r, lambda k, _: ~k.isin(*RESERVED) & ~F.exists(links, lambda e: e["key"] == k))
+        return let(
+            F.struct(plain.alias("p"), stamps(r).alias("s"), F.flatten(F.transform(links, of_link)).alias("k")),
+            lambda x: F.map_concat(
+                F.map_from_entries(
+                    F.filter(
+                        x["k"],
+                        lambda e, i: ~F.map_contains_key(x["p"], e["key"])
+                        & ~F.map_contains_key(x["s"], e["key"])
+                        & ~F.exists(F.slice(x["k"], i + 2, F.size(x["k"])), lambda later: later["key"] == e["key"]),
+                    )
                 ),
+                F.map_filter(x["s"], lambda k, _: ~F.map_contains_key(x["p"], k)),
+                x["p"],
             ),
         )
-        .drop("__r", "__l", "__p", "__s", "__k")
+
+    def many(r: Column, links: Column) -> Column:
+        own = F.filter(links, lambda e: e["shape"] == "array")
+        return F.transform(own, lambda e: F.struct(e["key"].alias("name"), e["key"].alias("relation"), _listed(r[e["key"]]).alias("records")))
+
+    def one(r: Column, links: Column) -> Column:
+        own = F.filter(links, lambda e: e["shape"] != "array")
+        kind = lambda e: F.when(e["shape"] == "object", F.try_variant_get(e["value"], "$.type", "string"))
+        return F.transform(
+            own,
+            lambda e: F.struct(F.coalesce(kind(e), e["key"]).alias("name"), e["key"].alias("relation"), F.try_element_at(_listed(r[e["key"]]), F.lit(1)).alias("record")),
+        )
+
+    def links_of(r: Column) -> Column:
+        held = F.coalesce(F.map_entries(F.try_variant_get(r["links"], "$", "map<string,variant>")), F.array().cast(entries))
+        return F.transform(held, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _shape(e["value"]).alias("shape")))
+
+    whole = let(
+        F.try_variant_get(record, "$", "map<string,variant>"),
+        lambda r: let(links_of(r), lambda links: F.struct(named(r, links).alias("attributes"), many(r, links).alias("has_many"), one(r, links).alias("has_one"))),
     )
+    return found.withColumn("__c", whole).withColumns({c: F.col(f"__c.{c}") for c in ("attributes", "has_many", "has_one")}).drop("__c")
 
 
 def children(parents: DataFrame, keep: list[str]) -> DataFrame:

@@ -7,10 +7,11 @@ key, and a reference is kept when no parent stands at its moment. Keys are cut i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions import wire
+from weirflow.functions.binding import let
 from weirflow.operators.scan import running
 from weirflow.sources.tables import stored
 
@@ -30,22 +31,20 @@ def references(records: DataFrame, links: str = "links") -> DataFrame:
         "array<map<string,string>>",
         {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"},
     )
-    whole = F.when((F.size(parts) == 2) & (parts[1]["end"] == "1"), parts[0])
-    pairs = records.select("record_no", wire.us_of(F.col("received_at")).alias("received_us"), F.explode(whole).alias("relation", "value"))
-    value = wire.text(F.col("value"))
-    typed = F.when(value.startswith("{"), F.from_json(value, "struct<type:string,id:string>"))
-    many = F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
+    whole = let(parts, lambda p: F.when((F.size(p) == 2) & (p[1]["end"] == "1"), p[0]))
+    # explode_outer: plain explode adds a filter on its input, which would parse everything again.
+    pairs = records.select("record_no", wire.us_of(F.col("received_at")).alias("received_us"), F.explode_outer(whole).alias("relation", "value"))
     named = F.create_map(*(F.lit(x) for pair in wire.LINK_MODELS.items() for x in pair))[F.col("relation")]
-    return (
-        pairs.where(value.isNotNull() & ~value.isin("[]", "{}"))
-        .withColumn("typed", typed)
-        .withColumn("model", F.when(value.startswith("{"), F.coalesce(wire.model_name(F.col("typed.type")), wire.text(F.col("typed.type")))).otherwise(named))
-        .where(F.col("model").isNotNull())
-        .withColumn("ids", F.when(value.startswith("{"), F.array(F.col("typed.id"))).otherwise(many))
-        .withColumn("ids", F.array_distinct(F.transform("ids", wire.whole_number)))
-        .select("record_no", "received_us", "relation", "model", F.explode("ids").alias("target_id"))
-        .where(F.col("target_id").isNotNull())
-    )
+    some = lambda model, ids: F.struct(model.alias("model"), F.array_distinct(F.transform(ids, wire.whole_number)).alias("ids"))
+
+    def read(v: Column) -> Column:
+        of_object = let(F.from_json(v, "struct<type:string,id:string>"), lambda t: some(F.coalesce(wire.model_name(t["type"]), wire.text(t["type"])), F.array(t["id"])))
+        many = F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))
+        return F.when(v.startswith("{"), of_object).when(named.isNotNull(), some(named, many))
+
+    found = pairs.select("record_no", "received_us", "relation", let(wire.text(F.col("value")), read).alias("found"))
+    ids = F.explode_outer(F.when(F.col("found.model").isNotNull(), F.col("found.ids")))
+    return found.select("record_no", "received_us", "relation", F.col("found.model").alias("model"), ids.alias("target_id")).where("target_id is not null")
 
 
 def feed_changes(feed: DataFrame) -> DataFrame:
