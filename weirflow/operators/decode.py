@@ -13,8 +13,7 @@ RESERVED = ("links", "id", "created_at", "updated_at", "canceled_at")
 
 def _listed(value: Column) -> Column:
     """An array as it is, anything else but null as the only element of one."""
-    some = value.isNotNull() & ~F.is_variant_null(value)
-    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.when(some, F.array(value)))
+    return let(value, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNotNull() & ~F.is_variant_null(v), F.array(v))))
 
 
 def _shape(value: Column) -> Column:
@@ -24,8 +23,8 @@ def _shape(value: Column) -> Column:
 
 def envelope(value: Column) -> Column:
     """The message envelope as VARIANT; one that is a quoted JSON text counts as what it quotes. Null where there is none."""
-    outer = F.try_parse_json(value)
-    return F.coalesce(F.when(F.schema_of_variant(outer) == "STRING", F.try_parse_json(F.try_variant_get(outer, "$", "string"))), outer)
+    quoted = F.ltrim(value).startswith('"')
+    return F.try_parse_json(F.when(quoted, F.try_variant_get(F.try_parse_json(value), "$", "string")).otherwise(value))
 
 
 def events(messages: DataFrame, value: str = "message_value") -> DataFrame:
@@ -34,7 +33,8 @@ def events(messages: DataFrame, value: str = "message_value") -> DataFrame:
     Tombstones, unreadable texts and envelopes without `message` give none; `data` that is one object is an array of one.
     """
     others = [c for c in messages.columns if c != value]
-    listed = messages.select(*others, F.posexplode(_listed(F.try_variant_get(envelope(F.col(value)), "$.message", "variant"))).alias("event_no", "e"))
+    # The outer form: plain posexplode adds a filter on its input, which would parse every message again.
+    listed = messages.select(*others, F.posexplode_outer(_listed(F.try_variant_get(envelope(F.col(value)), "$.message", "variant"))).alias("event_no", "e")).where("event_no is not null")
     get = lambda path, kind: F.try_variant_get("e", path, kind)
     return listed.select(
         *others, "event_no", get("$.event", "string").alias("event"), get("$.model_name", "string").alias("model_name"), _listed(get("$.data", "variant")).alias("records")
@@ -43,7 +43,7 @@ def events(messages: DataFrame, value: str = "message_value") -> DataFrame:
 
 def records(found: DataFrame) -> DataFrame:
     """One row per top record of the events: record_no and record."""
-    return found.select(*(c for c in found.columns if c != "records"), F.posexplode("records").alias("record_no", "record"))
+    return found.select(*(c for c in found.columns if c != "records"), F.posexplode_outer("records").alias("record_no", "record")).where("record_no is not null")
 
 
 def unreadable(messages: DataFrame, value: str = "message_value") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import wire
 from weirflow.operators.scan import running
+from weirflow.sources.tables import stored
 
 DAY_US = 86_400_000_000
 BEGINNING = -(1 << 62)
@@ -113,7 +114,7 @@ def outbox_versions(outbox: DataFrame, block: int = DAY_US) -> DataFrame:
         .agg(F.min("landed_us").alias("landed_us"), F.min("topic").alias("topic"), F.max("published").alias("published"), F.max("retry_us").alias("retry_us"))
         .withColumn("block", F.floor(F.col("updated_us") / block))
     )
-    return running(landed, ["id"], "block", ["updated_us"], "landed_us", "ended_us", combine=F.min, backwards=True, inclusive=False).drop("block")
+    return running(stored(landed, "versions"), ["id"], "block", ["updated_us"], "landed_us", "ended_us", combine=F.min, backwards=True, inclusive=False).drop("block")
 
 
 def due(outbox: DataFrame, runs: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def due(outbox: DataFrame, runs: DataFrame) -> DataFrame:
     versions = outbox_versions(outbox).where("not published").withColumn("ready_us", F.greatest("landed_us", "retry_us"))
     versions = versions.where("ended_us is null or ready_us < ended_us")
     at = runs.select("run_no", "topic", wire.us_of(F.col("began_at")).alias("at"), "outcome")
-    found = locate(versions, gaps(at), "topic", "ready_us", ["run_no"])
+    found = locate(stored(versions, "due"), gaps(at), "topic", "ready_us", ["run_no"])
     return found.where(F.col("ended_us").isNull() | (F.col("hi") < F.col("ended_us"))).select("run_no", F.col("id").alias("outbox_id"), "updated_us")
 
 

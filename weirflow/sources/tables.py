@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside this block are removed at its end; nothing may read them afterwards."""
+    before, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scopes.paths:
+            _remove(spark, path)
+        _scopes.paths = before
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that later steps neither recompute it nor lose it with an executor."""
+    """Write df once to the shared folder and read it back, so that later steps neither recompute it nor lose it with an executor.
+
+    The files stay until the enclosing `scratch` block ends, or the process does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    paths = getattr(_scopes, "paths", None)
+    if paths is None:
+        atexit.register(_remove, spark, path)
+    else:
+        paths.append(path)
     df.write.option("compression", "snappy").parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

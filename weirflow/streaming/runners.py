@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from weirflow.operators import apply, outbox
 from weirflow.plans.spec import ModelSpec
+from weirflow.sources.tables import scratch
 from weirflow.streaming.store import SnapshotStore
 
 
@@ -57,9 +58,10 @@ def consume(
             return
         for left in range(retries, -1, -1):
             try:
-                rows = transform(batch) if transform else batch
-                state, feed, rejects = apply.consume(rows, order, models, store.read("state"), filters)
-                store.commit(number, {"state": state}, {"feed": feed, "rejects": rejects})
+                with scratch(batch.sparkSession):
+                    rows = transform(batch) if transform else batch
+                    state, feed, rejects = apply.consume(rows, order, models, store.read("state"), filters)
+                    store.commit(number, {"state": state}, {"feed": feed, "rejects": rejects})
                 return
             except Exception:
                 if not left:
