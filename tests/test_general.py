@@ -44,13 +44,13 @@ def test_wire_times(spark, zone):
     same = "2025-03-01T12:00:00.5Z", "2025-03-01 12:00:00.500", "2025-03-01T14:00:00.500+02:00", "2025-03-01T07:00:00.500-05:00", " 2025-03-01 12:00:00.5 UTC ", "1740830400500", "2025-03-01T12:00:00.500000"
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        df = spark.createDataFrame([(k,) for k in (*same, "", None, "soon", "2025-03-01")], "v string").select(wire.epoch_us(F.col("v")))
+        df = spark.createDataFrame([(k,) for k in (*same, "", None, "soon", "2025-03-01", "12:00", "9223372036854775807", "9" * 40)], "v string").select(wire.epoch_us(F.col("v")))
         got = [r[0] for r in df.collect()]
         stamp = spark.createDataFrame([(1,)], "i int").select(wire.us_of(F.lit(dt.datetime(2025, 3, 1, 12)).cast("timestamp_ntz")))
         assert stamp.collect()[0][0] == 1740830400000000 or zone != "UTC"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert got == [1740830400500000] * len(same) + [None, None, None, 1740787200000000]
+    assert got == [1740830400500000] * len(same) + [None, None, None, 1740787200000000, None, None, None]
 
 
 @pytest.mark.parametrize("backwards,inclusive", [(False, True), (False, False), (True, True), (True, False)])
@@ -298,3 +298,7 @@ def test_accept_once_over_batches(spark):
     assert {r.arrival for r in one.unionByName(two).collect()} == {n for n in want if data[n][1]}
     assert sorted((r.producer, r.lo, r.hi) for r in both.collect()) == found
     assert once.accept(df.limit(0), *args)[0].count() == 0
+    texts = once.texts(spark.createDataFrame([d for d in data[:300]], schema), *args[:3])
+    late, _ = once.accept(spark.createDataFrame([d for d in data[300:] if not d[1]], schema), *args, seen_texts=texts)
+    told = {e for _, p, _, e in data[:300] if not p}
+    assert {r.arrival for r in late.collect()} == {n for n, p, _, e in data[300:] if not p and (e is None or (e not in told and n in want))}

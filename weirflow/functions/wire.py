@@ -33,8 +33,9 @@ def text(value: Column) -> Column:
 def whole_number(value: Column) -> Column:
     """The whole number that a text spells ("7", " 007", "7.0"), else null."""
     bare = F.btrim(value, F.lit(_BLANKS))
-    number = bare.try_cast("decimal(38,6)")
-    return F.coalesce(bare.try_cast("bigint"), F.when(number == F.floor(number), number).try_cast("bigint"))
+    # Casts that fail are slow, so texts are looked at first.
+    number = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare).try_cast("decimal(38,6)")
+    return F.when(bare.rlike(r"^[+-]?\d{1,18}$"), bare.try_cast("bigint")).otherwise(F.when(number == F.floor(number), number).try_cast("bigint"))
 
 
 def epoch_us(value: Column) -> Column:
@@ -50,7 +51,8 @@ def epoch_us(value: Column) -> Column:
     clock = F.when(zoned, bare).when(F.length(bare) <= 10, F.concat(bare, F.lit(" 00:00:00Z"))).otherwise(F.concat(bare, F.lit("Z")))
     # Without this a bare clock time, or nothing, would be read as one of today.
     dated = F.when(F.substring(bare, 5, 1) == "-", clock)
-    return F.coalesce(bare.try_cast("bigint") * 1000, F.unix_micros(dated.try_cast("timestamp")))
+    # Milliseconds of more digits lie beyond any calendar.
+    return F.when(bare.rlike(r"^\d{1,14}$"), bare.try_cast("bigint") * 1000).otherwise(F.unix_micros(dated.try_cast("timestamp")))
 
 
 def us_of(timestamp: Column) -> Column:

@@ -19,14 +19,21 @@ RANGES = "producer string, block bigint, lo bigint, hi bigint"
 
 
 def accept(
-    messages: DataFrame, producer: Column, number: Column, exact: Column, arrival: str, seen: DataFrame | None = None
+    messages: DataFrame,
+    producer: Column,
+    number: Column,
+    exact: Column,
+    arrival: str,
+    seen: DataFrame | None = None,
+    seen_texts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted, ranges): the arrivals to keep, and the merged ranges to hand to the next call.
 
     `messages` needs a unique `arrival`. A row with producer and number is accepted if it is the
     first of its number and `seen` doesn't cover the number. Else the row with the smallest arrival
-    of each `exact` text is accepted; a row without `exact` too is no message of which a copy could
-    be told, and is always accepted. Empty tables give empty results.
+    of each `exact` text is accepted, unless `seen_texts` (see texts) has it; a row without `exact`
+    too is no message of which a copy could be told, and is always accepted. Other columns of
+    `messages` are ignored; empty tables give empty results.
     """
     readable = producer.isNotNull() & number.isNotNull()
     # Reading identifiers costs more than keeping them, and they are needed three times.
@@ -54,11 +61,19 @@ def accept(
         .drop("island")
     )
     rest = read.where("producer is null")
-    looked_up = rest.where("exact is not null").groupBy("exact").agg(F.min("arrival").alias(arrival)).select(arrival)
+    looked_up = rest.where("exact is not null").groupBy("exact").agg(F.min("arrival").alias(arrival))
+    if seen_texts is not None:
+        looked_up = looked_up.join(seen_texts, "exact", "left_anti")
+    looked_up = looked_up.select(arrival)
     unknown = rest.where("exact is null").select(F.col("arrival").alias(arrival))
     return fresh.unionByName(looked_up).unionByName(unknown), ranges
 
 
+def texts(messages: DataFrame, producer: Column, number: Column, exact: Column) -> DataFrame:
+    """The texts of identifiers that can't be read, each once, to be kept for later calls of accept beside the ranges."""
+    return messages.where((producer.isNull() | number.isNull()) & exact.isNotNull()).select(exact.alias("exact")).distinct()
+
+
 def duplicates(messages: DataFrame, accepted: DataFrame, arrival: str) -> DataFrame:
     """Arrivals of `messages` that were not accepted; the join key is unique, so copies of one message can't pile up."""
     return messages.select(arrival).join(accepted, arrival, "left_anti")
