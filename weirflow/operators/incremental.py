@@ -122,7 +122,9 @@ def due(outbox: DataFrame, runs: DataFrame) -> DataFrame:
 
     A version's number in the log is the moment from which a run may take it: its landing, or its
     retry_at if that is later. The run whose gap holds that number is the first that sees it; it
-    takes the version unless it is published or no longer current by then.
+    takes the version unless it is published or no longer current by then. Rows without id, topic or one of the times
+    updated_at and loaded_at, and runs without topic or began_at, are left out; other columns and
+    repeated rows change nothing; an empty table gives an empty result.
     """
     versions = outbox_versions(outbox).where("not published").withColumn("ready_us", F.greatest("landed_us", "retry_us"))
     versions = versions.where("ended_us is null or ready_us < ended_us")

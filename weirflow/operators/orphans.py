@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions import wire
-from weirflow.functions.binding import let
+from weirflow.functions.binding import let, select_where
 from weirflow.operators.scan import running
 from weirflow.sources.tables import stored
 
@@ -56,12 +56,14 @@ def feed_changes(feed: DataFrame) -> DataFrame:
     time = F.coalesce(wire.epoch_us(F.col("synced_updated_at")), wire.epoch_us(F.col("synced_created_at")))
     kind = wire.event_kind(F.col("event"))
     gone = (kind == "destroyed") | wire.text(F.col("synced_canceled_at")).isNotNull()
-    return feed.select(
-        wire.model_name(F.col("model_name"), wire.MODELS).alias("model"),
-        wire.whole_number(F.col("synced_id")).alias("target_id"),
-        wire.us_of(F.col("received_at")).alias("received_us"),
-        (F.when(kind.isNotNull(), time) * 2 + gone.cast("bigint")).alias("state"),
-    ).where("model is not null and target_id is not null and received_us is not null and state is not null")
+    columns = {
+        "model": wire.model_name(F.col("model_name"), wire.MODELS),
+        "target_id": wire.whole_number(F.col("synced_id")),
+        "received_us": wire.us_of(F.col("received_at")),
+        "state": time * 2 + gone.cast("bigint"),
+    }
+    every = lambda r: r["model"].isNotNull() & r["target_id"].isNotNull() & r["received_us"].isNotNull() & r["state"].isNotNull()
+    return select_where(feed.where(kind.isNotNull()), columns, every)
 
 
 def account_changes(accounts: DataFrame) -> DataFrame:
@@ -80,8 +82,8 @@ def account_changes(accounts: DataFrame) -> DataFrame:
 def orphans(children: DataFrame, parents: DataFrame, block_us: int = WEEK_US) -> DataFrame:
     """References of `children` (see references) whose target doesn't stand in `parents` (see feed_changes) at received_us.
 
-    A change received at the very moment of the reference counts. Repeated rows give repeated
-    results; an empty side is fine.
+    A change received at the very moment of the reference counts. A reference without received_us
+    or target counts as orphaned. Repeated rows give repeated results; an empty side is fine.
     """
     block = F.floor(F.col("received_us") / block_us)
     long = (
@@ -96,5 +98,6 @@ def orphans(children: DataFrame, parents: DataFrame, block_us: int = WEEK_US) ->
 
 def by_period(found: DataFrame) -> DataFrame:
     """Number of orphaned references per referenced model and month of received_at."""
-    month = F.date_format(F.timestamp_micros("received_us").cast("timestamp"), "yyyy-MM")
+    moment = F.timestamp_micros("received_us").cast("timestamp_ntz")  # in the session's zone
+    month = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment), "yyyy-MM")
     return found.groupBy("model", month.alias("month")).agg(F.count("*").alias("orphans"))

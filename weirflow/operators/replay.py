@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions import wire
+from weirflow.functions.binding import select_where
 
 _NEVER = np.iinfo(np.int64).min
 
@@ -98,25 +99,24 @@ def present(states: DataFrame, keys: list[str], columns: list[str], clear: bool
     return states.where(F.col("gone_seq").isNull() | (F.col("gone_seq") < F.col("seq"))).select(*keys, "seq", *map(value, columns))
 
 
-def feed_changes(feed: DataFrame) -> DataFrame:
+def feed_changes(feed: DataFrame, only: list[str] | None = None) -> DataFrame:
     """The consumer's feed as changes: model_name, synced_id, seq (time in microseconds, doubled, plus one for a removal), gone, columns.
 
     Events count by the ending of their name. Rows without id, time or known model, and other
-    events, change nothing and are left out.
+    events, change nothing and are left out. `only` names the columns wanted; model_name, synced_id
+    and seq must be among them.
     """
     time = F.coalesce(wire.epoch_us(F.col("synced_updated_at")), wire.epoch_us(F.col("synced_created_at")))
     kind = wire.event_kind(F.col("event"))
     gone = (kind == "destroyed") | wire.text(F.col("synced_canceled_at")).isNotNull()
-    return (
-        feed.where(kind.isNotNull())
-        .select(
-            wire.model_name(F.col("model_name"), wire.MODELS).alias("model_name"),
-            wire.whole_number(F.col("synced_id")).alias("synced_id"),
-            (time * 2 + gone.cast("bigint")).alias("seq"),
-            gone.alias("gone"),
-            F.col("synced_account_id").cast("bigint").alias("synced_account_id"),
-            wire.epoch_us(F.col("synced_created_at")).alias("created_us"),
-            wire.text(F.col("name")).alias("name"),
-        )
-        .where("model_name is not null and synced_id is not null and seq is not null")
-    )
+    columns = {
+        "model_name": wire.model_name(F.col("model_name"), wire.MODELS),
+        "synced_id": wire.whole_number(F.col("synced_id")),
+        "seq": time * 2 + gone.cast("bigint"),
+        "gone": gone,
+        "synced_account_id": F.col("synced_account_id").cast("bigint"),
+        "created_us": wire.epoch_us(F.col("synced_created_at")),
+        "name": wire.text(F.col("name")),
+    }
+    known = lambda r: r["model_name"].isNotNull() & r["synced_id"].isNotNull() & r["seq"].isNotNull()
+    return select_where(feed.where(kind.isNotNull()), {c: columns[c] for c in only or columns}, known)

@@ -28,7 +28,7 @@ _P2_KEYS, _P2_COLUMNS = ["model_name", "synced_id"], ["synced_account_id", "crea
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = replay.feed_changes(table(spark, sf_dir, "deserialized_records")).select(*_P2_KEYS, "seq", "gone")
+    changes = replay.feed_changes(table(spark, sf_dir, "deserialized_records"), [*_P2_KEYS, "seq", "gone"])
     stands = replay.present(replay.replay(changes, _P2_KEYS, []), _P2_KEYS, [])
     return stands.select(*_P2_KEYS, F.shiftright("seq", 1).alias("version_us"))
 
