@@ -189,22 +189,22 @@ def settle_batch(spark, sf_dir):
 
 
 @query(
-    """SELECT topic, date_trunc('minute', published_at) AS minute, min(s) AS min_s, max(s) AS max_s, avg(s) AS avg_s, count(*) AS published
+    """SELECT topic, date_trunc('minute', published_at) AS minute, min(s) AS min_s, max(s) AS max_s, round(avg(s), 3) AS avg_s, count(*) AS published
     FROM (SELECT *, (epoch_us(published_at) - epoch_us(created_at)) / 1e6 AS s FROM dionysus_outbox_without_changesets WHERE published_at IS NOT NULL) q GROUP BY 1, 2"""
 )
 def outbox_latency(spark, sf_dir):
     """A-02, R-16, K-13: latencies per minute."""
-    return outbox.latency_by_minute(table(spark, sf_dir, OUTBOX))
+    return outbox.latency_by_minute(table(spark, sf_dir, OUTBOX)).withColumn("avg_s", F.round("avg_s", 3))
 
 
 @query(
-    f"""SELECT coalesce(min(s), 0) AS min_s, coalesce(max(s), 0) AS max_s, coalesce(avg(s), 0) AS avg_s, coalesce(max(w), 0) AS oldest_s FROM (
+    f"""SELECT coalesce(min(s), 0) AS min_s, coalesce(max(s), 0) AS max_s, round(coalesce(avg(s), 0), 3) AS avg_s, coalesce(max(w), 0) AS oldest_s FROM (
       SELECT CASE WHEN published_at BETWEEN {NOW_SQL} - INTERVAL 60 SECOND AND {NOW_SQL} THEN (epoch_us(published_at) - epoch_us(created_at)) / 1e6 END AS s,
         CASE WHEN published_at IS NULL THEN (epoch_us({NOW_SQL}) - epoch_us(created_at)) / 1e6 END AS w FROM dionysus_outbox_without_changesets) q"""
 )
 def outbox_oldest_pending(spark, sf_dir):
     """A-02, A-03: the four gauges at one moment."""
-    return outbox.latency(table(spark, sf_dir, OUTBOX), _now())
+    return outbox.latency(table(spark, sf_dir, OUTBOX), _now()).withColumn("avg_s", F.round("avg_s", 3))
 
 
 @query("SELECT id, updated_at, loaded_at, nullif(concat_ws(': ', nullif(error_class, ''), nullif(error_message, '')), '') AS error FROM dionysus_outbox_without_changesets WHERE failed_at IS NOT NULL")
