@@ -152,7 +152,7 @@ _DUE = f"published_at IS NULL AND (retry_at IS NULL OR retry_at <= {NOW_SQL})"
 
 
 @query(
-    f"""SELECT topic, rank, id FROM (SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY created_at, id, updated_at, loaded_at) AS rank
+    f"""SELECT topic, rank::INT AS rank, id FROM (SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY created_at, id, updated_at, loaded_at) AS rank
     FROM dionysus_outbox_without_changesets WHERE {_DUE}) q WHERE rank <= 100"""
 )
 def fetch_publishable(spark, sf_dir):
@@ -510,14 +510,14 @@ def event_props_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query(f"""WITH {_EVENTS} SELECT message_id, event_no, e ->> '$.event' AS event, e ->> '$.model_name' AS model_name FROM ev""")
+@query(f"""WITH {_EVENTS} SELECT message_id, event_no::INT AS event_no, e ->> '$.event' AS event, e ->> '$.model_name' AS model_name FROM ev""")
 def message_events(spark, sf_dir):
     """S-02, D2, D3, F-21: events of every message."""
     return decode.events(table(spark, sf_dir, "messages")).select("message_id", "event_no", "event", "model_name")
 
 
 @query(
-    f"""WITH {_RECORDS} SELECT message_id, event_no, record_no, r ->> '$.id' AS synced_id, json_exists(r, '$.canceled_at') AS has_canceled, r ->> '$.updated_at' AS updated_at,
+    f"""WITH {_RECORDS} SELECT message_id, event_no::INT AS event_no, record_no::INT AS record_no, r ->> '$.id' AS synced_id, json_exists(r, '$.canceled_at') AS has_canceled, r ->> '$.updated_at' AS updated_at,
       CASE WHEN json_type(r, '$.links.account') NOT IN ('OBJECT', 'ARRAY') THEN r ->> '$.links.account' END AS account_id,
       CASE WHEN json_type(r, '$.links.bookable') = 'OBJECT' THEN r ->> '$.links.bookable.type' END AS bookable_type,
       CASE WHEN json_type(r, '$.links.taxes') = 'ARRAY' THEN json_array_length(r, '$.links.taxes')::VARCHAR END AS n_taxes FROM rec WHERE json_type(r) = 'OBJECT'"""
