@@ -138,7 +138,8 @@ class Ledger:
 
     Every commit writes its part of the output and the merged intervals into a folder of their own,
     then names both in a manifest that is put in place by one rename. A run that dies before that
-    leaves nothing that a reader sees; the next run finds the same gap and does it again.
+    leaves nothing that a reader sees; the next run finds the same gap and does it again. The file
+    system's rename must be atomic and must not replace an existing file, as on HDFS.
     """
 
     def __init__(self, spark: SparkSession, path: str):

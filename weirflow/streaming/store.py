@@ -12,7 +12,8 @@ class SnapshotStore:
     """Snapshots of named tables under one folder; a pointer, put in place by one rename, names the current ones.
 
     Every commit carries the id of its micro-batch. A batch that comes again after its commit is known
-    and skipped, one that died before it left nothing that a reader sees.
+    and skipped, one that died before it left nothing that a reader sees. The file system's rename must
+    be atomic and must not replace an existing file, as on HDFS.
     """
 
     def __init__(self, spark: SparkSession, path: str):
