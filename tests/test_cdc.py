@@ -394,6 +394,15 @@ def test_consumer_matches_a_depth_first_run(spark):
     assert got == {k: (ms(s["created_at"]), ms(s["updated_at"]), ms(s["canceled_at"])) for k, s in state.items()}
 
 
+def test_records_embedded_against_the_order_are_rejects(spark):
+    messages = [_message("booking_created", {"id": 1, "links": {"rental": 5}, "rental": {"id": 5, "links": {}}}, model="Booking")]
+    state, _, rejects = _consume(spark, messages, [ModelSpec("Rental"), ModelSpec("Booking")])
+    assert [(r.model, r.synced_id) for r in state.collect()] == [("Booking", 1)]
+    assert [r.reason for r in rejects.collect()] == ["Rental inside Booking, against the order of models"]
+    state, _, rejects = _consume(spark, messages, [ModelSpec("Booking"), ModelSpec("Rental")])
+    assert {(r.model, r.synced_id) for r in state.collect()} == {("Booking", 1), ("Rental", 5)} and rejects.count() == 0
+
+
 def test_bulk_models_bypass_the_gate(spark):
     messages = [_message("rental_created", {"id": 1, "updated_at": "2025-01-02", "links": {}}), _message("rental_created", {"id": 1, "updated_at": "2025-01-01", "links": {}}), _message("rental_destroyed", {"id": 2, "links": {}})]
     state, feed, _ = _consume(spark, messages, [ModelSpec("Rental", bulk=True)])

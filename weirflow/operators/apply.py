@@ -283,8 +283,8 @@ def consume(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state, feed, rejects) of messages applied in `order` to the target (see STATE).
 
-    `models` lists the known models, each before the models of its embedded records (a cycle can't
-    be ordered that way); events of others are dropped. An embedded record counts only if the record
+    `models` lists the known models, each before the models of its embedded records; a record
+    embedded against that order, as a cycle of relations brings about, is a reject. Events of others are dropped. An embedded record counts only if the record
     that it lies in was accepted; then it passes the gate of its own key. Records without id, ignored events and
     unreadable messages are rejects (reason, place, detail). The feed has a row per record that was
     looked at, with action and changed attributes; the state holds the target's rows that nothing
@@ -322,7 +322,11 @@ def consume(
         inner = inner.withColumn("place", F.concat_ws("/", "place", F.when(F.col("to_many"), "0").otherwise("1"), "name", F.lpad(F.col("position").cast("string"), 12, "0")))
         known = F.coalesce(*(F.when(F.lower(F.regexp_replace(decode.singular(F.col("name")), "_", "")) == m.lower(), F.lit(m)) for m in specs))
         inner = inner.withColumn("model", known).where(F.col("model").isNotNull()).withColumn("root", F.lit(False))
-        waiting.append(_kept(inner, "inner"))
+        later = list(specs)[list(specs).index(name) + 1 :]
+        kept = _kept(inner, "inner")
+        waiting.append(kept.where(F.col("model").isin(later)))
+        wrong = kept.where(~F.col("model").isin(later))
+        bad = bad.unionByName(wrong.select(F.concat(F.col("model"), F.lit(f" inside {name}, against the order of models")).alias("reason"), "place", F.col("data").alias("detail")))
     state, feed = states[0], feeds[0]
     for s, f in zip(states[1:], feeds[1:]):
         state, feed = state.unionByName(s), feed.unionByName(f)

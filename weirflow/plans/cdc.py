@@ -623,7 +623,7 @@ def backfill_columns(spark, sf_dir):
     return apply.backfill(table(spark, sf_dir, "events"), {"k": "bigint", "missing": "string"}, "props").select("event_id", "k", "missing")
 
 
-CONSUMER = [ModelSpec(m, soft_delete=m not in ("Client", "Tax")) for m in ("Rental", "Booking", "BookingsFee", "Client", "Fee", "Tax", "Account")]
+CONSUMER = [ModelSpec(m, soft_delete=m not in ("Client", "Tax")) for m in ("Booking", "Rental", "BookingsFee", "Client", "Fee", "Tax", "Account")]
 
 
 @query()
