@@ -240,6 +240,7 @@ def _arrow(ddl: str) -> pa.DataType:
 def _fold(rows: DataFrame, specs: dict[str, ModelSpec]) -> DataFrame:
     schema = pa.schema([("state", _arrow(STATE)), ("feed", _arrow(FEED))])
     as_struct = lambda ddl: "struct<" + ",".join(f"{n}:{t}" for n, t in (f.split() for f in ddl.split(","))) + ">"
+    rows = rows.select([f.split()[0] for f in _IN.split(",")])
     sorted_rows = rows.repartition("model", "synced_id").sortWithinPartitions("model", "synced_id", "place")
     return sorted_rows.mapInArrow(_folder(specs, schema), f"state {as_struct(STATE)}, feed {as_struct(FEED)}")
 
@@ -252,6 +253,7 @@ def _rows(canonical: DataFrame) -> DataFrame:
         "model",
         wire.whole_number(text("synced_id")).alias("synced_id"),
         "place",
+        "parent",
         "event",
         wire.event_kind(F.col("event")).alias("kind"),
         "root",
@@ -283,12 +285,14 @@ def consume(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state, feed, rejects) of messages applied in `order` to the target (see STATE).
 
-    `models` lists the known models, each before the models of its embedded records; a record
-    embedded against that order, as a cycle of relations brings about, is a reject. Events of others are dropped. An embedded record counts only if the record
-    that it lies in was accepted; then it passes the gate of its own key. Records without id, ignored events and
-    unreadable messages are rejects (reason, place, detail). The feed has a row per record that was
-    looked at, with action and changed attributes; the state holds the target's rows that nothing
-    touched, too.
+    Events of models that aren't listed are dropped. An embedded record counts only if the record that
+    it lies in was accepted; then it passes the gate of its own key. Models may embed each other in
+    cycles: whether a record counts depends on earlier records alone, so all are folded at once, those
+    in rejected ones are taken out, and this is repeated until nothing changes. Records without id,
+    ignored events and unreadable messages are rejects (reason, place, detail). The feed has a row per
+    record that was looked at, with action and changed attributes; the state also holds the target's rows
+    that nothing touched. Null messages change nothing; repeated ones are applied again; an empty table
+    leaves the target as it is.
     """
     specs = {m.name: m for m in models}
     messages = messages.withColumn("__at", _place(*(F.col(c) for c in order)))
@@ -298,39 +302,37 @@ def consume(
     kept, ignored = split(events, filters or [])
     bad = bad.unionByName(ignored.select(F.concat(F.lit("ignored by "), "ignored_by").alias("reason"), _place_of("__at", "event_no").alias("place"), F.col("event").alias("detail")))
     tops = decode.records(kept).withColumn("place", _place_of("__at", "event_no", "record_no")).withColumn("root", F.lit(True))
-    tops = tops.withColumn("received_us", wire.us_of(F.col("received_at")))
-    # Every model's records are written once: what lies in them is read by the models that follow.
-    waiting = [_kept(tops, "tops")]
-    states, feeds = [], []
-    for name in specs:
-        own = waiting[0].where(F.col("model") == name)
-        for more in waiting[1:]:
-            own = own.unionByName(more.where(F.col("model") == name))
-        bad = bad.unionByName(own.where("synced_id is null").select(F.lit("no id").alias("reason"), "place", F.col("data").alias("detail")))
-        rows = own.where("synced_id is not null")
-        fold_in = rows.drop("has_many", "has_one")
-        if target is not None:
-            start = target.where(F.col("model") == name).select("model", "synced_id", F.lit("").alias("place"), "created_us", "updated_us", "canceled_us", F.col("synced_data").alias("data"))
-            fold_in = fold_in.unionByName(start, allowMissingColumns=True)
-        done = stored(_fold(fold_in, specs), "applied")
-        states.append(done.where("state is not null").select("state.*"))
-        feed = done.where("feed is not null").select("feed.*")
-        feeds.append(feed)
-        passed = feed.where("accepted and action not in ('bulk_import', 'bulk_destroy')").select("place")
-        inner = decode.children(rows.join(passed, "place", "left_semi"), ["place", "event", "received_us"])
+    tops = tops.withColumn("received_us", wire.us_of(F.col("received_at"))).withColumn("parent", F.lit(None).cast("string"))
+    known = F.create_map(*(F.lit(x) for m in specs for x in (m.lower(), m)))
+    level = _kept(tops, "tops")
+    rows = level.drop("has_many", "has_one")
+    # One round per level of embedding; each writes only what lies in the level before.
+    while True:
+        inner = decode.children(level.where("synced_id is not null"), ["place", "event", "received_us"]).withColumn("parent", F.col("place"))
         # To-many relations come before to-one ones, as they are applied.
         inner = inner.withColumn("place", F.concat_ws("/", "place", F.when(F.col("to_many"), "0").otherwise("1"), "name", F.lpad(F.col("position").cast("string"), 12, "0")))
-        known = F.coalesce(*(F.when(F.lower(F.regexp_replace(decode.singular(F.col("name")), "_", "")) == m.lower(), F.lit(m)) for m in specs))
-        inner = inner.withColumn("model", known).where(F.col("model").isNotNull()).withColumn("root", F.lit(False))
-        later = list(specs)[list(specs).index(name) + 1 :]
-        kept = _kept(inner, "inner")
-        waiting.append(kept.where(F.col("model").isin(later)))
-        wrong = kept.where(~F.col("model").isin(later))
-        bad = bad.unionByName(wrong.select(F.concat(F.col("model"), F.lit(f" inside {name}, against the order of models")).alias("reason"), "place", F.col("data").alias("detail")))
-    state, feed = states[0], feeds[0]
-    for s, f in zip(states[1:], feeds[1:]):
-        state, feed = state.unionByName(s), feed.unionByName(f)
-    return state, feed, bad
+        inner = inner.withColumn("model", known[F.lower(F.regexp_replace(decode.singular(F.col("name")), "_", ""))]).where(F.col("model").isNotNull())
+        level = _kept(inner.withColumn("root", F.lit(False)), "inner")
+        if level.isEmpty():
+            break
+        rows = rows.unionByName(level.drop("has_many", "has_one"))
+    start = None
+    if target is not None:
+        start = target.select("model", "synced_id", F.lit("").alias("place"), "created_us", "updated_us", "canceled_us", F.col("synced_data").alias("data"))
+    parents = rows.where("parent is not null").select("parent").distinct()
+    passed = stored(parents, "parents")
+    while True:
+        present = rows.where("parent is null").unionByName(rows.join(passed, "parent", "left_semi").select(rows.columns))
+        fold_in = present.where("synced_id is not null")
+        done = stored(_fold(fold_in if start is None else fold_in.unionByName(start, allowMissingColumns=True), specs), "applied")
+        feed = done.where("feed is not null").select("feed.*")
+        now = feed.where("accepted and action not in ('bulk_import', 'bulk_destroy')").select(F.col("place").alias("parent"))
+        now = stored(now.join(parents, "parent", "left_semi"), "parents")
+        if now.join(passed, "parent", "left_anti").isEmpty() and passed.join(now, "parent", "left_anti").isEmpty():
+            break
+        passed = now
+    bad = bad.unionByName(present.where("synced_id is null").select(F.lit("no id").alias("reason"), "place", F.col("data").alias("detail")))
+    return done.where("state is not null").select("state.*"), feed, bad
 
 
 def _place_of(first: str, *rest: str) -> Column:
