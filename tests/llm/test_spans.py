@@ -151,3 +151,27 @@ def test_alignment_counts():
     assert spans.aligned("abcdXefgh", "abcdYefgh", [(0, 0), (5, 5)], 4) == 8
     assert spans.aligned("abcdefgh", "abcdefgh", [(0, 0), (2, 2), (4, 4)], 4) == 8
     assert spans.aligned("abcd12efgh", "abcdefgh", [(0, 0), (6, 4)], 4) == 8
+
+
+def test_passages_link_all_pairs(spark):
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    text, other, house = word(900), word(900), word(60)
+    docs = [(1, word(50) + text), (2, word(80) + text + word(30)), (3, text[:600] + word(70) + other), (4, other + word(9)), (5, text), (6, text)]
+    docs += [(d, word(200) + house + word(100)) for d in range(10, 50)]  # short, and in very many documents
+    found = spans.passages(spark.createDataFrame(docs, SCHEMA), length=100, k=16).collect()
+    of_text = {(a, b) for a in (1, 2, 3, 5, 6) for b in (1, 2, 3, 5, 6) if a != b}
+    assert {(r.doc_id, r.partner) for r in found} == of_text | {(3, 4), (4, 3)}
+    assert {(r.doc_id, r.partner) for r in found if r.end - r.start > 400} == of_text | {(3, 4), (4, 3)}
+    by = dict(docs)
+    assert all(by[r.doc_id][r.start : r.end] == by[r.partner][r.partner_start : r.partner_end] for r in found if r.identity == 1)
+
+
+def test_passages_of_frequent_seeds(spark, monkeypatch):
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    text = word(400)
+    docs = [(d, word(d * 7) + text + word(90)) for d in range(8)] + [(8, text[:60] + word(300))]
+    monkeypatch.setattr(spans, "FEW", 2)
+    found = spans.passages(spark.createDataFrame(docs, SCHEMA), length=100, k=16).collect()
+    assert {(r.doc_id, r.partner) for r in found} == {(a, b) for a in range(8) for b in range(8) if a != b}

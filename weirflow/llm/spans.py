@@ -6,6 +6,7 @@ shared seed. Seeds are joined by hash, each occurrence with one partner in anoth
 (linear in the size of a group, never all its pairs); matches that lie in order are chained with gap
 costs through a Fenwick tree; the chains say which parts of a document are worth a look. The exact
 check then compares the windows in these parts by content, over all documents, in shrinking blocks.
+Fuzzy passages (`passages`) are chained for every pair of documents instead.
 """
 
 from __future__ import annotations
@@ -163,43 +164,66 @@ def matches(found: DataFrame) -> DataFrame:
     return held.withColumn("partner", partner["doc_id"]).withColumn("partner_pos", partner["pos"]).drop("one", "other", "n_rows")
 
 
-def chains(positions: np.ndarray, others: np.ndarray, k: int = K) -> np.ndarray:
-    """Chain number of every match (position in one text, position in the other), sorted by position.
-
-    A chain rises in both texts. Of all ways to go on from earlier matches each match takes the best
-    score, k per match less GAP_COST per character skipped in either text; the Fenwick tree keeps the
-    best score over all smaller positions in the other text. A match that gains nothing starts a chain.
-    """
-    n = len(positions)
+def _previous(positions: np.ndarray, others: np.ndarray, k: int) -> tuple[list[int], list[float]]:
+    """The match that each match goes on from, -1 where it starts a chain, and its score (see chains)."""
     order = np.unique(others)
-    rank = np.searchsorted(order, others) + 1
-    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (len(order) + 1)
-    score, chain = [0.0] * n, np.zeros(n, np.int64)
+    ranks = (np.searchsorted(order, others) + 1).tolist()
+    positions, others = positions.tolist(), others.tolist()
+    n, top = len(positions), len(order)
+    tree: list[tuple[float, int]] = [(-np.inf, -1)] * (top + 1)
+    score, before = [0.0] * n, [-1] * n
     pending: list[int] = []
-    made = 0
     for j in range(n):
         if j and positions[j] != positions[j - 1]:  # matches at one position can't follow each other
             for i in pending:
-                r, value = int(rank[i]), (score[i] + GAP_COST * (int(positions[i]) + int(others[i])), i)
-                while r <= len(order):
+                r, value = ranks[i], (score[i] + GAP_COST * (positions[i] + others[i]), i)
+                while r <= top:
                     if tree[r] < value:
                         tree[r] = value
                     r += r & -r
             pending = []
-        best, r = (-np.inf, -1), int(rank[j]) - 1
+        best, r = (-np.inf, -1), ranks[j] - 1
         while r:
             best = max(best, tree[r])
             r &= r - 1
-        gain = best[0] - GAP_COST * (int(positions[j]) + int(others[j]))
+        gain = best[0] - GAP_COST * (positions[j] + others[j])
         if gain > 0:
-            score[j], chain[j] = gain + k, chain[best[1]]
+            score[j], before[j] = gain + k, best[1]
         else:
-            score[j], chain[j] = k, made
-            made += 1
+            score[j] = k
         pending.append(j)
+    return before, score
+
+
+def chains(positions: np.ndarray, others: np.ndarray, k: int = K) -> np.ndarray:
+    """Chain number of every match (position in one text, position in the other), sorted by position.
+
+    A chain rises in both texts. Of all ways to go on from earlier matches each match takes the best
+    score, k per match less GAP_COST per character skipped in either text; the Fenwick tree keeps the
+    best score over all smaller positions in the other text. A match that gains nothing starts a chain.
+    """
+    chain, made = np.zeros(len(positions), np.int64), 0
+    for j, i in enumerate(_previous(positions, others, k)[0]):
+        chain[j] = made if i < 0 else chain[i]
+        made += i < 0
     return chain
 
 
+def branches(positions: np.ndarray, others: np.ndarray, k: int = K) -> list[list[int]]:
+    """The chains as lists of matches that rise in both texts; where several matches go on from one, the best way keeps the chain and each other one begins at the fork."""
+    before, score = _previous(positions, others, k)
+    used, found = [False] * len(before), []
+    for j in sorted(range(len(before)), key=lambda j: -score[j]):
+        path: list[int] = []
+        while j >= 0 and not used[j]:
+            used[j] = True
+            path.append(j)
+            j = before[j]
+        if path:
+            found.append(([j] if j >= 0 else []) + path[::-1])
+    return found
+
+
 _SPOT = "struct<pos:int,partner_pos:int,lo:int,hi:int,seed:bigint,context:bigint>"
 
 
@@ -340,38 +364,118 @@ def shares(documents: DataFrame, spans: DataFrame) -> DataFrame:
     return by.join(lengths, "doc_id").withColumn("share", F.col("shared_chars") / F.col("n_chars"))
 
 
+FEW = 16  # occurrences of a seed up to which all pairs of them are made
+
+
+def _ends(hot: DataFrame, least: int, k: int) -> DataFrame:
+    """Pairs of seeds between which a text can have a chain of `least` characters made of these seeds alone: text_id, a, b.
+
+    A chain's score stays above that of its last seed, so its gaps cost less than its other seeds gain.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for text, own in zip(batch["text_id"].to_pylist(), batch["own"].to_pylist()):
+                pos, seed = np.array([x["pos"] for x in own]), np.array([x["seed"] for x in own], np.int64)
+                for i in range(len(pos)):
+                    apart = pos[i + 1 :] - pos[i]
+                    fits = (apart + k >= least) & (GAP_COST * (apart + least - k) < k * np.arange(1, len(apart) + 1))
+                    if fits.any():
+                        b = np.unique(seed[i + 1 :][fits])
+                        yield _rows([np.full(len(b), text), np.full(len(b), seed[i]), b], [pa.int64()] * 3, ["text_id", "a", "b"])
+
+    by = hot.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seed"))).alias("own"))
+    return by.mapInArrow(run, "text_id bigint, a bigint, b bigint").distinct()
+
+
+def _paired(left: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Each two rows with the same keys, of different texts once, of one text where that has copies; adds partner and partner_<column>."""
+    right = left.select(*keys, F.col("text_id").alias("partner"), *(F.col(c).alias(f"partner_{c}") for c in columns))
+    return left.join(right, keys).where("text_id < partner or (text_id = partner and twin)").drop("twin")
+
+
+def pair_matches(texts: DataFrame, least: int, run: int, k: int = K) -> DataFrame:
+    """Shared seeds of all pairs of texts that can have a chain of `least` characters: text_id, partner, pos, partner_pos.
+
+    `texts` has text_id and text, one row per copy. A pair comes once, the smaller id first; a text is
+    its own partner if it has copies. Seeds with FEW occurrences are paired as they are. The others
+    pair texts only where two of them can be the ends of a chain; a pair that is found
+    either way then gets all of them.
+    """
+    found = seeds(texts.select(F.col("text_id").alias("doc_id"), "text"), run, k).select("seed", F.col("doc_id").alias("text_id"), "pos")
+    found = found.repartition("seed").groupBy("seed", "text_id", "pos").agg((F.count("*") > 1).alias("twin"))
+    same = Window.partitionBy("seed")
+    found = found.withColumn("n", F.count("*").over(same)).withColumn("shared", F.min("text_id").over(same) != F.max("text_id").over(same))
+    held = stored(found.where("shared or twin").drop("shared"), "held")
+    few, hot = held.where(F.col("n") <= FEW).drop("n"), held.where(F.col("n") > FEW).drop("n")
+    direct = stored(_paired(few, ["seed"], ["pos"]).drop("seed"), "direct")
+    ends = stored(_ends(hot, least, k).join(hot.groupBy("text_id").agg(F.first("twin").alias("twin")), "text_id"), "ends")
+    pairs = direct.select("text_id", "partner").unionByName(_paired(ends, ["a", "b"], []).select("text_id", "partner")).distinct()
+    other = hot.select("seed", F.col("text_id").alias("partner"), F.col("pos").alias("partner_pos"))
+    rest = pairs.join(hot.select("seed", "text_id", "pos"), "text_id").join(other, ["partner", "seed"])
+    return direct.unionByName(rest.select(*direct.columns))
+
+
+def _pair_chains(matched: DataFrame, least: int, k: int) -> DataFrame:
+    """Chains of each pair that span `least` characters in both texts: text_id, partner, chains (of anchors)."""
+    anchor = pa.struct([("pos", pa.int32()), ("partner_pos", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            texts, partners, kept = [], [], []
+            for text, partner, spots in zip(batch["text_id"].to_pylist(), batch["partner"].to_pylist(), batch["spots"].to_pylist()):
+                at = sorted((x["pos"], x["partner_pos"]) for x in spots)
+                if max(x[0] for x in at) - at[0][0] + k < least:
+                    continue
+                found = branches(np.array([x[0] for x in at]), np.array([x[1] for x in at]), k)
+                long = [[at[i] for i in c] for c in found if min(at[c[-1]][x] - at[c[0]][x] for x in (0, 1)) + k >= least]
+                if long:
+                    texts.append(text)
+                    partners.append(partner)
+                    kept.append([[{"pos": p, "partner_pos": q} for p, q in c] for c in long])
+            yield _rows([texts, partners, kept], [pa.int64(), pa.int64(), pa.list_(pa.list_(anchor))], ["text_id", "partner", "chains"])
+
+    by = matched.groupBy("text_id", "partner").agg(F.collect_list(F.struct("pos", "partner_pos")).alias("spots"))
+    return by.mapInArrow(run, "text_id bigint, partner bigint, chains array<array<struct<pos:int,partner_pos:int>>>")
+
+
 def passages(documents: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Fuzzy passages: stretches of a document that follow, with changes, a stretch of its partner in the same order.
 
-    One row per chain that spans `length` characters or more in both texts: doc_id, partner, starts and ends
-    (exclusive) in both, n_seeds, and identity, the share of the longer stretch's characters that an
-    alignment matches. The alignment runs between seeds that follow each other in the chain, so its
-    parts stay short where the texts agree. Chains are those of `chained`: one partner per seed.
+    One row per chain that spans `length` characters or more in both texts, for every pair of documents and
+    in both directions: doc_id, partner, starts and ends (exclusive) in both, n_seeds, and identity,
+    the share of the longer stretch's characters that an alignment matches. The alignment runs between
+    seeds that follow each other in the chain, so its parts stay short where the texts agree. Equal
+    texts are looked at once; every document that has the text gets the rows.
     """
     small(documents.sparkSession)
-    spots = F.col("spots")
-    ends = _chains(documents, length, k).select(
-        "doc_id", "partner", "chain", F.transform(spots, lambda x: F.struct(x["pos"].alias("pos"), x["partner_pos"].alias("partner_pos"))).alias("anchors"), F.size(spots).alias("n_seeds")
-    )
-    long = F.element_at("anchors", -1)["pos"] + k - F.col("anchors")[0]["pos"] >= length
-    long &= F.element_at("anchors", -1)["partner_pos"] + k - F.col("anchors")[0]["partner_pos"] >= length
-    texts = documents.where(F.length("text") >= length).select("doc_id", "text")
-    both = stored(ends.where(long), "passages").join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("partner"), F.col("text").alias("partner_text")), "partner")
+    texts = documents.where((F.length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    kept = stored(_pair_chains(pair_matches(texts, length, length, k), length, k), "pairs")
+    wanted = kept.select("text_id").unionByName(kept.select(F.col("partner").alias("text_id"))).distinct()
+    own = stored(texts.select("text_id", "text").dropDuplicates(["text_id"]).join(wanted, "text_id"), "texts")
+    both = kept.join(own, "text_id").join(own.select(F.col("text_id").alias("partner"), F.col("text").alias("partner_text")), "partner")
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-    names = ["doc_id", "partner", "start", "end", "partner_start", "partner_end", "n_seeds", "identity"]
+    names = ["text_id", "partner_id", "start", "end", "partner_start", "partner_end", "n_seeds", "identity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows = set()
             for r in batch.to_pylist():
-                a = [(x["pos"], x["partner_pos"]) for x in r["anchors"]]
-                start, other = a[0]
-                end, other_end = a[-1][0] + k, a[-1][1] + k
-                same = aligned(r["text"], r["partner_text"], a, k)
-                rows.append((r["doc_id"], r["partner"], start, end, other, other_end, r["n_seeds"], same / max(end - start, other_end - other)))
+                for chain in r["chains"]:
+                    a = [(x["pos"], x["partner_pos"]) for x in chain]
+                    (start, other), (end, other_end) = a[0], (a[-1][0] + k, a[-1][1] + k)
+                    same = aligned(r["text"], r["partner_text"], a, k)
+                    rows.add((r["text_id"], r["partner"], start, end, other, other_end, len(a), same / max(end - start, other_end - other)))
             yield _rows(list(zip(*rows)) if rows else [[] for _ in names], types, names)
 
-    return both.mapInArrow(run, "doc_id bigint, partner bigint, start int, end int, partner_start int, partner_end int, n_seeds int, identity double")
+    once = stored(both.mapInArrow(run, "text_id bigint, partner_id bigint, start int, end int, partner_start int, partner_end int, n_seeds int, identity double"), "passages")
+    back = once.where("text_id <> partner_id").select(
+        F.col("partner_id").alias("text_id"), F.col("text_id").alias("partner_id"), F.col("partner_start").alias("start"), F.col("partner_end").alias("end"),
+        F.col("start").alias("partner_start"), F.col("end").alias("partner_end"), "n_seeds", "identity",
+    )
+    members = texts.select("text_id", "doc_id").distinct()
+    of = once.unionByName(back).join(members, "text_id").join(members.select(F.col("text_id").alias("partner_id"), F.col("doc_id").alias("partner")), "partner_id")
+    return of.where("doc_id <> partner").select("doc_id", "partner", *names[2:])
 
 
 def aligned(a: str, b: str, anchors: list[tuple[int, int]], k: int = K) -> int:
