@@ -175,3 +175,26 @@ def test_passages_of_frequent_seeds(spark, monkeypatch):
     monkeypatch.setattr(spans, "FEW", 2)
     found = spans.passages(spark.createDataFrame(docs, SCHEMA), length=100, k=16).collect()
     assert {(r.doc_id, r.partner) for r in found} == {(a, b) for a in range(8) for b in range(8) if a != b}
+
+
+def test_passages_of_the_shortest_length_are_found(spark):
+    rng = random.Random(23)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    docs, want = [], {}
+    for i in range(30):
+        shared = word(400 + i * 20)
+        changed = list(shared)
+        for at in (50, 200, 300)[: i % 4]:
+            changed[at] = "X"
+        docs += [(2 * i, word(150) + "1" + shared + "2" + word(170)), (2 * i + 1, word(90) + "3" + "".join(changed) + "4" + word(60))]
+        want[2 * i, 2 * i + 1] = (151, 151 + len(shared), 91, 91 + len(shared), (len(shared) - i % 4) / len(shared))
+    docs += [(98, word(200) + "1" + (short := word(399)) + "2" + word(100)), (99, word(150) + "3" + short + "4" + word(100))]
+    found = spans.passages(spark.createDataFrame(docs, SCHEMA)).collect()
+    assert {(r.doc_id, r.partner): (r.start, r.end, r.partner_start, r.partner_end, r.identity) for r in found if r.doc_id < r.partner} == want
+    assert len(found) == 2 * len(want)
+
+
+def test_extension_follows_changes():
+    assert spans.extension("abcdefghijXklmnopqrst??", "abcdefghijYklmnopqrst!!") == (21, 21, 20)
+    assert spans.extension("abcdefghijklmnopqrst", "abcdefghij12klmnopqrst") == (20, 22, 20)
+    assert spans.extension("abcX", "abcY") == (3, 3, 3) and spans.extension("", "abc") == (0, 0, 0)

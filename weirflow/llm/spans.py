@@ -164,8 +164,9 @@ def matches(found: DataFrame) -> DataFrame:
     return held.withColumn("partner", partner["doc_id"]).withColumn("partner_pos", partner["pos"]).drop("one", "other", "n_rows")
 
 
-def _previous(positions: np.ndarray, others: np.ndarray, k: int) -> tuple[list[int], list[float]]:
-    """The match that each match goes on from, -1 where it starts a chain, and its score (see chains)."""
+def _previous(positions: np.ndarray, others: np.ndarray, k: float | np.ndarray) -> tuple[list[int], list[float]]:
+    """The match that each match goes on from, -1 where it starts a chain, and its score (see chains). k: what each match gains."""
+    gains = np.broadcast_to(k, len(positions)).tolist()
     order = np.unique(others)
     ranks = (np.searchsorted(order, others) + 1).tolist()
     positions, others = positions.tolist(), others.tolist()
@@ -188,9 +189,9 @@ def _previous(positions: np.ndarray, others: np.ndarray, k: int) -> tuple[list[i
             r &= r - 1
         gain = best[0] - GAP_COST * (positions[j] + others[j])
         if gain > 0:
-            score[j], before[j] = gain + k, best[1]
+            score[j], before[j] = gain + gains[j], best[1]
         else:
-            score[j] = k
+            score[j] = gains[j]
         pending.append(j)
     return before, score
 
@@ -209,7 +210,7 @@ def chains(positions: np.ndarray, others: np.ndarray, k: int = K) -> np.ndarray:
     return chain
 
 
-def branches(positions: np.ndarray, others: np.ndarray, k: int = K) -> list[list[int]]:
+def branches(positions: np.ndarray, others: np.ndarray, k: float | np.ndarray = K) -> list[list[int]]:
     """The chains as lists of matches that rise in both texts; where several matches go on from one, the best way keeps the chain and each other one begins at the fork."""
     before, score = _previous(positions, others, k)
     used, found = [False] * len(before), []
@@ -365,9 +366,27 @@ def shares(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 FEW = 16  # occurrences of a seed up to which all pairs of them are made
+DENSER = 4  # shared runs of a passage's length by this hold a seed
+OUTER = 2  # the seeds of a passage span its length by this, before it is extended
+SKIP, RESUME = 8, 8  # characters that an extension may skip in a text, and that must be equal after it, at least; twice as many as skipped
 
 
-def _ends(hot: DataFrame, least: int, k: int) -> DataFrame:
+def _gain(length: int, k: int) -> float:
+    """What a chain gains per character that its seeds cover, so that it bridges as much as with one seed in each window of `length`."""
+    return 2 * k / (length - k + 2)
+
+
+def _gains(at: list[tuple[int, int]], k: int) -> np.ndarray:
+    """Characters that each match covers and the one before on its diagonal doesn't."""
+    last: dict[int, int] = {}
+    found = np.full(len(at), k)
+    for i, (p, q) in enumerate(at):
+        found[i] = min(k, p - last.get(p - q, p - k))
+        last[p - q] = p
+    return found
+
+
+def _ends(hot: DataFrame, least: int, k: int, gain: float) -> DataFrame:
     """Pairs of seeds between which a text can have a chain of `least` characters made of these seeds alone: text_id, a, b.
 
     A chain's score stays above that of its last seed, so its gaps cost less than its other seeds gain.
@@ -379,7 +398,7 @@ def _ends(hot: DataFrame, least: int, k: int) -> DataFrame:
                 pos, seed = np.array([x["pos"] for x in own]), np.array([x["seed"] for x in own], np.int64)
                 for i in range(len(pos)):
                     apart = pos[i + 1 :] - pos[i]
-                    fits = (apart + k >= least) & (GAP_COST * (apart + least - k) < k * np.arange(1, len(apart) + 1))
+                    fits = (apart + k >= least) & (GAP_COST * (apart + least - k) < gain * k * np.arange(1, len(apart) + 1))
                     if fits.any():
                         b = np.unique(seed[i + 1 :][fits])
                         yield _rows([np.full(len(b), text), np.full(len(b), seed[i]), b], [pa.int64()] * 3, ["text_id", "a", "b"])
@@ -394,8 +413,8 @@ def _paired(left: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return left.join(right, keys).where("text_id < partner or (text_id = partner and twin)").drop("twin")
 
 
-def pair_matches(texts: DataFrame, least: int, run: int, k: int = K) -> DataFrame:
-    """Shared seeds of all pairs of texts that can have a chain of `least` characters: text_id, partner, pos, partner_pos.
+def pair_matches(texts: DataFrame, least: int, run: int, gain: float, k: int = K) -> DataFrame:
+    """Shared seeds, one in each `run` characters, of all pairs of texts that can have a chain of `least`: text_id, partner, pos, partner_pos.
 
     `texts` has text_id and text, one row per copy. A pair comes once, the smaller id first; a text is
     its own partner if it has copies. Seeds with FEW occurrences are paired as they are. The others
@@ -409,14 +428,14 @@ def pair_matches(texts: DataFrame, least: int, run: int, k: int = K) -> DataFram
     held = stored(found.where("shared or twin").drop("shared"), "held")
     few, hot = held.where(F.col("n") <= FEW).drop("n"), held.where(F.col("n") > FEW).drop("n")
     direct = stored(_paired(few, ["seed"], ["pos"]).drop("seed"), "direct")
-    ends = stored(_ends(hot, least, k).join(hot.groupBy("text_id").agg(F.first("twin").alias("twin")), "text_id"), "ends")
+    ends = stored(_ends(hot, least, k, gain).join(hot.groupBy("text_id").agg(F.first("twin").alias("twin")), "text_id"), "ends")
     pairs = direct.select("text_id", "partner").unionByName(_paired(ends, ["a", "b"], []).select("text_id", "partner")).distinct()
     other = hot.select("seed", F.col("text_id").alias("partner"), F.col("pos").alias("partner_pos"))
     rest = pairs.join(hot.select("seed", "text_id", "pos"), "text_id").join(other, ["partner", "seed"])
     return direct.unionByName(rest.select(*direct.columns))
 
 
-def _pair_chains(matched: DataFrame, least: int, k: int) -> DataFrame:
+def _pair_chains(matched: DataFrame, least: int, gain: float, k: int) -> DataFrame:
     """Chains of each pair that span `least` characters in both texts: text_id, partner, chains (of anchors)."""
     anchor = pa.struct([("pos", pa.int32()), ("partner_pos", pa.int32())])
 
@@ -427,7 +446,7 @@ def _pair_chains(matched: DataFrame, least: int, k: int) -> DataFrame:
                 at = sorted((x["pos"], x["partner_pos"]) for x in spots)
                 if max(x[0] for x in at) - at[0][0] + k < least:
                     continue
-                found = branches(np.array([x[0] for x in at]), np.array([x[1] for x in at]), k)
+                found = branches(np.array([x[0] for x in at]), np.array([x[1] for x in at]), gain * _gains(at, k))
                 long = [[at[i] for i in c] for c in found if min(at[c[-1]][x] - at[c[0]][x] for x in (0, 1)) + k >= least]
                 if long:
                     texts.append(text)
@@ -444,13 +463,16 @@ def passages(documents: DataFrame, length: int = LENGTH, k: int = K) -> DataFram
 
     One row per chain that spans `length` characters or more in both texts, for every pair of documents and
     in both directions: doc_id, partner, starts and ends (exclusive) in both, n_seeds, and identity,
-    the share of the longer stretch's characters that an alignment matches. The alignment runs between
-    seeds that follow each other in the chain, so its parts stay short where the texts agree. Equal
-    texts are looked at once; every document that has the text gets the rows.
+    the share of the longer stretch's characters that an alignment matches. Seeds stand in every run of
+    a quarter of `length`; chains that span half of it are extended by alignment at both ends before they
+    are measured, so no equal stretch of `length` is lost. The alignment runs between seeds that follow
+    each other in the chain, so its parts stay short where the texts agree. Equal texts are looked at
+    once; every document that has the text gets the rows.
     """
+    run_length, least, gain = max(k, length // DENSER), length // OUTER, _gain(length, k)
     small(documents.sparkSession)
     texts = documents.where((F.length("text") >= length) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    kept = stored(_pair_chains(pair_matches(texts, length, length, k), length, k), "pairs")
+    kept = stored(_pair_chains(pair_matches(texts, least, run_length, gain, k), least, gain, k), "pairs")
     wanted = kept.select("text_id").unionByName(kept.select(F.col("partner").alias("text_id"))).distinct()
     own = stored(texts.select("text_id", "text").dropDuplicates(["text_id"]).join(wanted, "text_id"), "texts")
     both = kept.join(own, "text_id").join(own.select(F.col("text_id").alias("partner"), F.col("text").alias("partner_text")), "partner")
@@ -459,13 +481,18 @@ def passages(documents: DataFrame, length: int = LENGTH, k: int = K) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            rows = set()
+            rows = []
             for r in batch.to_pylist():
+                text, other_text, found = r["text"], r["partner_text"], {}
                 for chain in r["chains"]:
                     a = [(x["pos"], x["partner_pos"]) for x in chain]
                     (start, other), (end, other_end) = a[0], (a[-1][0] + k, a[-1][1] + k)
-                    same = aligned(r["text"], r["partner_text"], a, k)
-                    rows.add((r["text_id"], r["partner"], start, end, other, other_end, len(a), same / max(end - start, other_end - other)))
+                    before, after = extension(text[:start][::-1], other_text[:other][::-1]), extension(text[end:], other_text[other_end:])
+                    place = (start - before[0], end + after[0], other - before[1], other_end + after[1])
+                    longer = max(place[1] - place[0], place[3] - place[2])
+                    if min(place[1] - place[0], place[3] - place[2]) >= length and found.get(place, (0,))[0] < len(a):
+                        found[place] = (len(a), (before[2] + aligned(text, other_text, a, k) + after[2]) / longer)
+                rows += [(r["text_id"], r["partner"], *place, *rest) for place, rest in found.items()]
             yield _rows(list(zip(*rows)) if rows else [[] for _ in names], types, names)
 
     once = stored(both.mapInArrow(run, "text_id bigint, partner_id bigint, start int, end int, partner_start int, partner_end int, n_seeds int, identity double"), "passages")
@@ -493,3 +520,28 @@ def aligned(a: str, b: str, anchors: list[tuple[int, int]], k: int = K) -> int:
         same += len(x) if x == y else sum(m.size for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
         same, i, j = same + rest, p + rest, q + rest
     return same
+
+
+_STEPS = sorted(((x, y) for x in range(SKIP + 1) for y in range(SKIP + 1) if x or y), key=lambda s: (max(s), abs(s[0] - s[1])))
+
+
+def extension(a: str, b: str) -> tuple[int, int, int]:
+    """How far an alignment from the beginning of both goes in `a` and in `b`, and how many characters it matches; it ends on equal ones."""
+    i = j = 0
+    same = 0
+    while True:
+        n, step = 0, 256
+        while step:
+            x, y = a[i + n : i + n + step], b[j + n : j + n + step]
+            if len(x) == len(y) == step and x == y:
+                n += step
+            else:
+                step //= 2
+        i, j, same = i + n, j + n, same + n
+        for x, y in _STEPS:
+            need = max(RESUME, 2 * max(x, y))
+            if len(part := a[i + x : i + x + need]) == need and part == b[j + y : j + y + need]:
+                break
+        else:
+            return i, j, same
+        i, j = i + x, j + y
