@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import naming
 from weirflow.operators import apply, classify, decode, fanout, genesis, outbox, snapshot
+from weirflow.plans import cdc
 from weirflow.plans.spec import OBSERVER_TOPIC, ModelSpec, Observation, Publication, Registry, Relation, SpecError, Topic
 
 NOW = dt.datetime(2025, 1, 1, 12)
@@ -424,3 +425,11 @@ def test_merge_prune_backfill(spark):
     assert [r.a for r in apply.backfill(data, {"a": "bigint"}).collect()] == [1, None, None]
     spec = ModelSpec("Rental", ("rental_type", "name"), mapping={"rental_type": "type"})
     assert apply.mapped(spec, ["type", "name", "unheard"]) == {"type": "rental_type", "name": "name"}
+
+
+def test_changesets_of_all_models_are_encrypted(spark, tmp_path):
+    rows = [(n, model, "1", None, None, name, "updated") for n, (model, name) in enumerate([("Tax", "a"), ("Rental", "a"), ("Client", "a"), ("Rental", "b"), ("Client", "a")])]
+    schema = "arrival_no bigint, model_name string, synced_id string, synced_canceled_at string, synced_account_id bigint, name string, event string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/deserialized_records.parquet")
+    got = sorted(tuple(r) for r in cdc.QUERIES["changeset_encrypted_all"](spark, str(tmp_path)).collect())
+    assert got == [(0, "Tax", 1), (1, "Rental", 1), (2, "Client", 1), (3, "Rental", 1), (4, "Client", 0)]

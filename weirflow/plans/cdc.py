@@ -323,11 +323,24 @@ def observes_attributes(spark, sf_dir):
     FROM seen WHERE model = 'Tax'"""
 )
 def changeset_encrypted(spark, sf_dir):
-    """P-14, D7: changesets through AES and back."""
+    """P-14, D7: changesets of taxes through AES and back."""
+    return _unsealed(_log(spark, sf_dir).where("model = 'Tax'"))
+
+
+@query(
+    f"""WITH {_LOG} SELECT arrival_no, model, (account_id IS DISTINCT FROM old_account_id)::INT + (name IS DISTINCT FROM old_name)::INT + (canceled IS DISTINCT FROM old_canceled)::INT AS n_changed
+    FROM seen"""
+)
+def changeset_encrypted_all(spark, sf_dir):
+    """P-14, D7: changesets of all models through AES and back."""
+    return _unsealed(_log(spark, sf_dir), "model")
+
+
+def _unsealed(log, *columns):
     key = F.lit("0123456789abcdef")
-    sealed = _log(spark, sf_dir).where("model = 'Tax'").withColumn("cipher", classify.encrypted(F.to_json(classify.changeset(["account_id", "name", "canceled"])), key))
+    sealed = log.withColumn("cipher", classify.encrypted(F.to_json(classify.changeset(["account_id", "name", "canceled"])), key))
     opened = F.from_json(classify.decrypted(F.col("cipher"), key), "map<string,string>")
-    return sealed.select("arrival_no", F.size(opened).alias("n_changed"))
+    return sealed.select("arrival_no", *columns, F.size(opened).alias("n_changed"))
 
 
 # --- messages out of records ---------------------------------------------------------------------
