@@ -4,8 +4,8 @@ Every window of `length` characters is represented by one k-mer in it, its small
 equal windows have the same seed at the same place, and every shared stretch of that length holds a
 shared seed. Seeds are joined by hash, each occurrence with one partner in another document
 (linear in the size of a group, never all its pairs); matches that lie in order are chained with gap
-costs through a Fenwick tree; the chains say which parts of a document are worth a look. The exact
-check then compares the windows in these parts by content, over all documents, in shrinking blocks.
+costs through a Fenwick tree. All matched seeds lie in some chain, so for exact spans the chains select
+nothing: the check compares the windows of all of them by content, over all documents, in shrinking blocks.
 Fuzzy passages (`passages`) are chained for every pair of documents instead.
 """
 
