@@ -433,3 +433,11 @@ def test_changesets_of_all_models_are_encrypted(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/deserialized_records.parquet")
     got = sorted(tuple(r) for r in cdc.QUERIES["changeset_encrypted_all"](spark, str(tmp_path)).collect())
     assert got == [(0, "Tax", 1), (1, "Rental", 1), (2, "Client", 1), (3, "Rental", 1), (4, "Client", 0)]
+
+
+def test_rescan_covers_all_jobs(spark, tmp_path):
+    spark.range(2500).selectExpr("id * 3 AS o_orderkey", "id * 1.5D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(tuple(r) for r in cdc.QUERIES["genesis_rescan_all"](spark, str(tmp_path)).collect())
+    assert got == [(n // 1000, 3 * n, 1.5 * n) for n in range(2500)]
+    jobs = spark.createDataFrame([(0, [1, 1, 2]), (1, [2])], "batch_no int, ids array<bigint>")
+    assert sorted(tuple(r) for r in genesis.rescan_by_job(spark.range(30), jobs, "id").select("batch_no", "id").collect()) == [(0, 1), (0, 2), (1, 2)]

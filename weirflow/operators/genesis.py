@@ -80,6 +80,11 @@ def rescan(table: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
     return table.join(jobs.select(F.explode("ids").alias(key)), key, "left_semi")
 
 
+def rescan_by_job(table: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
+    """Rows of the table that each job names, with its batch_no; an id named twice in a job gives its row once there."""
+    return table.join(jobs.select("batch_no", F.explode(F.array_distinct("ids")).alias(key)), key)
+
+
 def performed(model: str, service: str, topic: str, now: dt.datetime, days: float) -> dict[str, Any]:
     """The control record of a replay."""
     return {"model": model, "service": service, "topic": topic, "start_at": now, "end_at": now + dt.timedelta(days=days, seconds=SAFETY_DELAY_S)}

@@ -514,6 +514,14 @@ def genesis_rescan(spark, sf_dir):
     return genesis.rescan(orders, first, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
+@query("SELECT CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 1000) AS BIGINT) AS batch_no, o_orderkey, o_totalprice FROM orders")
+def genesis_rescan_all(spark, sf_dir):
+    """S-08, J-09: rows of every job."""
+    orders = table(spark, sf_dir, "orders")
+    jobs = genesis.batched(orders, "o_orderkey", days=1.5, spread=1 << 14)
+    return genesis.rescan_by_job(orders, jobs, "o_orderkey").select("batch_no", "o_orderkey", "o_totalprice")
+
+
 # --- messages to records -------------------------------------------------------------------------
 
 
