@@ -34,6 +34,13 @@ def test_inflection(spark, many, one):
     assert spark.range(1).select(decode.singular(F.lit(many))).collect()[0][0] == one
 
 
+@pytest.mark.parametrize("many,one", [("movies", "movie"), ("statuses", "status"), ("buses", "bus"), ("series", "series"), ("people", "person"), ("analyses", "analysis"), ("rental_addresses", "rental_address"), ("ties", "tie"), ("as", "a"), ("house_wives", "house_wife"), ("news", "news")])
+def test_inflection_of_uncommon_forms(spark, many, one):
+    assert naming.singular(many) == one
+    assert spark.range(1).select(decode.singular(F.lit(many))).collect()[0][0] == one
+    assert naming.plural(one) == many or one.endswith("s")
+
+
 def test_names(spark):
     assert naming.classify("bookings_fee") == "BookingsFee" and naming.underscore("BookingsFee") == "bookings_fee"
     assert naming.topic_name("v3", "rentals", replica=True) == "v3_rentals_genesis"

@@ -34,7 +34,7 @@ def rows(df):
 
 
 def test_wire_numbers(spark):
-    cases = {"7": 7, " 007\t": 7, "7.0": 7, "7.5": None, "": None, "  ": None, None: None, "x": None, "1e2": 100, "99999999999999999999": None}
+    cases = {"7": 7, " 007\t": 7, "7.0": 7, "7.5": None, "": None, "  ": None, None: None, "x": None, "1e2": 100, "99999999999999999999": None, "7.0000001": None, "+7.": 7, ".0": 0, "7." + "0" * 30 + "1": None, "7" * 18 + ".000": int("7" * 18), "70e-1": 7, "75e-1": None, ".": None}
     df = spark.createDataFrame([(k,) for k in cases], "v string").select("v", wire.whole_number(F.col("v")))
     assert dict(df.collect()) == cases
 
@@ -250,6 +250,52 @@ def test_due_matches_a_sequential_run(spark):
     assert incremental.due(box.limit(0), ran).count() == 0 and incremental.due(box, ran.limit(0)).count() == 0
 
 
+def _relanded(spark):
+    """Two versions land before the first epoch's end; one of them lands again, and a late one of an earlier moment lands for the first time, after it."""
+    box = [(1, "a", None, None, at(10), at(20)), (2, "a", None, None, at(30), at(40)), (1, "a", None, None, at(10), at(500)), (3, "a", None, None, at(20), at(510))]
+    runs = [(n, "a", at(t), "succeeded") for n, t in enumerate((50, 60, 70, 400, 505, 600))]
+    return spark.createDataFrame(box, OUTBOX), spark.createDataFrame(runs, "run_no bigint, topic string, began_at timestamp_ntz, outcome string")
+
+
+def test_due_subtracts_what_the_ledger_holds(spark, tmp_path, monkeypatch):
+    box, runs = _relanded(spark)
+    ledger = incremental.Ledger(spark, str(tmp_path / "ledger"))
+    want = {(0, 1), (0, 2), (5, 3)}
+    assert {(r.run_no, r.outbox_id) for r in incremental.due(box, runs, 2, ledger).collect()} == want
+    assert [(r.lo, r.hi) for r in ledger.processed(incremental.INTERVALS).collect()] == [(0, 2)]  # the late version filled the gap
+    assert rows(incremental.due(box, runs, 2, ledger)) == rows(incremental.due(box, runs, 1))  # again, with the same ledger: nothing is added
+    assert {(r.run_no, r.outbox_id) for r in incremental.due(box, runs, 3).collect()} == want
+    monkeypatch.setattr(incremental, "subtract", lambda available, processed, keys: incremental.merge(available, keys))
+    assert {(r.run_no, r.outbox_id) for r in incremental.due(box, runs, 2).collect()} == want | {(4, 1)}
+
+
+def test_due_starts_again_after_a_failure(spark, tmp_path, monkeypatch):
+    box, runs = _relanded(spark)
+    ledger, commit, calls = incremental.Ledger(spark, str(tmp_path / "ledger")), incremental.Ledger.commit, []
+
+    def breaks(self, *args):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("lost")
+        return commit(self, *args)
+
+    monkeypatch.setattr(incremental.Ledger, "commit", breaks)
+    with pytest.raises(OSError):
+        incremental.due(box, runs, 2, ledger)
+    assert {(r.run_no, r.outbox_id) for r in incremental.due(box, runs, 2, ledger).collect()} == {(0, 1), (0, 2), (5, 3)}
+
+
+def test_positions_are_dense_whatever_the_values(spark):
+    from weirflow.operators.scan import positions
+
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.randrange(10**15)) for _ in range(400)] + [(None, 5)]
+    got = positions(spark.createDataFrame(data, "k string, v bigint"), ["k", "v"], "n", 7).collect()
+    assert [(r.k, r.v) for r in sorted(got, key=lambda r: r.n)] == sorted(data, key=lambda x: (x[0] is not None, x[0] or "", x[1]))
+    assert sorted(r.n for r in got) == list(range(401))
+    assert positions(spark.createDataFrame([], "v bigint"), ["v"], "n").count() == 0
+
+
 def test_ledger_commits_whole_or_not_at_all(spark, tmp_path):
     ledger = incremental.Ledger(spark, str(tmp_path))
     schema = "k string, lo bigint, hi bigint"
@@ -302,3 +348,23 @@ def test_accept_once_over_batches(spark):
     late, _ = once.accept(spark.createDataFrame([d for d in data[300:] if not d[1]], schema), *args, seen_texts=texts)
     told = {e for _, p, _, e in data[:300] if not p}
     assert {r.arrival for r in late.collect()} == {n for n, p, _, e in data[300:] if not p and (e is None or (e not in told and n in want))}
+
+
+def test_parts_hand_on_ranges_and_texts(spark, monkeypatch):
+    rng = random.Random(18)
+    data = []
+    for n in range(500):
+        producer = rng.choice(["p", "p", "q", None])
+        number = rng.randrange(200) + (once.BLOCK - 100 if rng.random() < 0.5 else 0)
+        data.append((n, None if n < 3 else n // 9 * 10, producer, number if producer else None, rng.choice(["x", "y", None]) if not producer else None))
+    df = spark.createDataFrame(data, "arrival bigint, batch bigint, producer string, number bigint, exact string")
+    args = (F.col("producer"), F.col("number"), F.col("exact"), "arrival")
+    kept, ranges = once.accept(df, *args)
+    for parts in (1, 4):
+        found, held = once.accept_in_parts(df, *args, "batch", parts)
+        assert rows(found) == rows(kept) and rows(held) == rows(ranges)
+    assert max(r.hi - r.lo for r in held.collect()) > 3  # numbers that follow each other are one range
+    assert once.accept_in_parts(df.limit(0), *args, "batch")[0].count() == 0
+    nothing = df.select("producer", F.lit(0).cast("bigint").alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi")).limit(0)
+    monkeypatch.setattr(once, "merged", lambda swept: nothing)
+    assert once.accept_in_parts(df, *args, "batch", 2)[0].count() > len(rows(kept))  # the ranges are what tells copies in later parts

@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def singular(name: str) -> str:
-    """Singular of a relation name by the common English endings ("taxes", "categories", "fees")."""
-    if name.endswith("ies") and len(name) > 3:
-        return name[:-3] + "y"
-    if name.endswith(("xes", "sses", "ches", "shes")):
-        return name[:-2]
-    if name.endswith("s") and not name.endswith(("ss", "us")):
-        return name[:-1]
+# Endings of plurals and what stands in their place, the first that fits counts; group 1 is kept. Used as they are here and in column form.
+SINGULARS = (
+    (r"((?:^|_)(?:series|species|news|equipment|information))$", ""),
+    (r"((?:^|_)p)eople$", "erson"),
+    (r"((?:^|_)child)ren$", ""),
+    (r"((?:^|_)(?:wo)?m)en$", "an"),
+    (r"((?:^|_)(?:movie|cookie|tie|pie))s$", ""),
+    (r"((?:^|_)(?:bus|status|alias|virus|campus|bonus|census|gas))es$", ""),
+    (r"((?:analy|cri|diagno|hypothe|synop)s)es$", "is"),
+    (r"((?:^|_)(?:kni|li|wi))ves$", "fe"),
+    (r"((?:^|_)(?:cal|hal|shel|wol|lea|thie|loa))ves$", "f"),
+    (r"(.)ies$", "y"),
+    (r"(x|ss|ch|sh|zz)es$", ""),
+    (r"(ss|us|is)$", ""),
+    (r"(.)s$", ""),
+)
+_PLURALS = (
+    (r"((?:^|_)(?:series|species|news|equipment|information))$", ""),
+    (r"((?:^|_)p)erson$", "eople"),
+    (r"((?:^|_)child)$", "ren"),
+    (r"((?:^|_)(?:wo)?m)an$", "en"),
+    (r"((?:analy|cri|diagno|hypothe|synop)s)is$", "es"),
+    (r"((?:^|_)(?:kni|li|wi))fe$", "ves"),
+    (r"((?:^|_)(?:cal|hal|shel|wol|lea|thie|loa))f$", "ves"),
+    (r"([^aeiou])y$", "ies"),
+    (r"(x|ss|ch|sh|zz)$", "es"),
+    (r"(s)$", ""),
+    (r"(.)$", "s"),
+)
+
+
+def _inflected(name: str, rules: tuple[tuple[str, str], ...]) -> str:
+    for ending, instead in rules:
+        if re.search(ending, name):
+            return re.sub(ending, rf"\g<1>{instead}", name)
     return name
 
 
+def singular(name: str) -> str:
+    """Singular of a relation name ("taxes", "categories", "statuses", "movies", "series"); a name without a plural's ending is its own."""
+    return _inflected(name, SINGULARS)
+
+
 def plural(name: str) -> str:
-    if name.endswith("y") and name[-2:-1] not in "aeiou":
-        return name[:-1] + "ies"
-    if name.endswith(("x", "ss", "ch", "sh")):
-        return name + "es"
-    return name if name.endswith("s") else name + "s"
+    """Plural of a relation name; one that ends in s already counts as plural."""
+    return _inflected(name, _PLURALS)
 
 
 def classify(name: str) -> str:

@@ -31,11 +31,12 @@ def text(value: Column) -> Column:
 
 
 def whole_number(value: Column) -> Column:
-    """The whole number that a text spells ("7", " 007", "7.0"), else null."""
+    """The whole number that a text spells ("7", " 007", "7.0", "1e2"), else null. A fraction is looked at before anything is rounded."""
     bare = F.btrim(value, F.lit(_BLANKS))
     # Casts that fail are slow, so texts are looked at first.
-    number = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare).try_cast("decimal(38,6)")
-    return F.when(bare.rlike(r"^[+-]?\d{1,18}$"), bare.try_cast("bigint")).otherwise(F.when(number == F.floor(number), number).try_cast("bigint"))
+    whole = F.when(bare.rlike(r"^[+-]?(\d+\.?0*|\.0+)$"), bare).try_cast("decimal(38,0)").try_cast("bigint")
+    powered = F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$"), bare).try_cast("decimal(38,18)")
+    return F.when(bare.rlike(r"^[+-]?\d{1,18}$"), bare.try_cast("bigint")).otherwise(F.coalesce(whole, F.when(powered == F.floor(powered), powered).try_cast("bigint")))
 
 
 def epoch_us(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.functions import naming
 from weirflow.functions.binding import let
 
 # Keys of a record that are no plain attributes.
@@ -54,13 +55,8 @@ def unreadable(messages: DataFrame, value: str = "message_value") -> DataFrame:
 
 
 def singular(name: Column) -> Column:
-    """Column form of naming.singular."""
-    return (
-        F.when(name.endswith("ies"), F.regexp_replace(name, "ies$", "y"))
-        .when(name.rlike("(x|ss|ch|sh)es$"), F.regexp_replace(name, "es$", ""))
-        .when(name.endswith("s") & ~name.rlike("(ss|us)$"), F.regexp_replace(name, "s$", ""))
-        .otherwise(name)
-    )
+    """Column form of naming.singular, by the same rules."""
+    return F.coalesce(*(F.when(name.rlike(ending), F.regexp_replace(name, ending, f"$1{instead}")) for ending, instead in naming.SINGULARS), name)
 
 
 def canonical(found: DataFrame, record: str = "record") -> DataFrame:

@@ -6,10 +6,11 @@ import datetime as dt
 import math
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions import naming
+from weirflow.operators.scan import positions
 
 BATCH = 1000
 SAFETY_DELAY_S = 60
@@ -51,24 +52,13 @@ def schedule(total: int, days: float, batch: int = BATCH) -> tuple[int, int]:
     return batches, math.floor(86_400 * days / batches) if batches else 0
 
 
-def numbered(rows: DataFrame, key: str, spread: int = 1 << 20) -> DataFrame:
-    """Rows with `n`, their position from 0 in the order of a whole-number key, without sorting all of them in one task.
-
-    Counts per range of keys give each range's first number; the rows are numbered inside their range.
-    """
-    cell = F.floor(F.col(key) / spread).alias("cell")
-    counts = rows.groupBy(cell).agg(F.count("*").alias("in_cell"))
-    first = counts.withColumn("before", F.coalesce(F.sum("in_cell").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("cell").orderBy(key)) - 1
-    return rows.withColumn("cell", cell).join(first, "cell").withColumn("n", F.col("before") + inside).drop("cell", "in_cell", "before")
-
-
 def batched(rows: DataFrame, key: str, days: float, batch: int = BATCH, spread: int = 1 << 20) -> DataFrame:
-    """Replay jobs: batch_no, ids (sorted), delay_s after the start."""
+    """Replay jobs: batch_no, ids (sorted), delay_s after the start. `spread`: rows that are numbered in one task, about; rows without key are left out."""
+    rows = rows.where(F.col(key).isNotNull()).select(key)
     total = rows.count()
     _, every = schedule(total, days, batch)
     return (
-        numbered(rows.select(key), key, spread)
+        positions(rows, [key], "n", math.ceil(total / spread))
         .groupBy(F.floor(F.col("n") / batch).alias("batch_no"))
         .agg(F.array_sort(F.collect_list(key)).alias("ids"))
         .withColumn("delay_s", F.col("batch_no") * every)

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import wire
-from weirflow.operators.scan import running
-from weirflow.sources.tables import stored
+from weirflow.operators.scan import positions, running
+from weirflow.sources.tables import folder, stored
 
 DAY_US = 86_400_000_000
 BEGINNING = -(1 << 62)
@@ -43,7 +43,8 @@ def subtract(available: DataFrame, processed: DataFrame, keys: list[str]) -> Dat
     edges = lambda df, a, p: df.where("lo <= hi").select(
         *keys, F.inline(F.array(F.struct(F.col("lo").alias("at"), F.lit(a).alias("a"), F.lit(p).alias("p")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-a).alias("a"), F.lit(-p).alias("p"))))
     )
-    steps = edges(available, 1, 0).unionByName(edges(processed, 0, 1)).groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
+    # By keys at once: the sums, the windows and the merge below then need no further shuffle.
+    steps = edges(available, 1, 0).unionByName(edges(processed, 0, 1)).repartition(*keys).groupBy(*keys, "at").agg(F.sum("a").alias("a"), F.sum("p").alias("p"))
     order = Window.partitionBy(*keys).orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     return merge(
@@ -94,13 +95,9 @@ def locate(points: DataFrame, intervals: DataFrame, key: str, value: str, carry:
     )
 
 
-def outbox_versions(outbox: DataFrame, block: int = DAY_US) -> DataFrame:
-    """Versions (id, updated_us) with the span of moments in which they are current: landed_us up to, not including, ended_us.
-
-    A version that landed twice is visible from its first landing. A version is current until a
-    newer one lands; one that lands after a newer one never is.
-    """
-    landed = (
+def landed(outbox: DataFrame) -> DataFrame:
+    """Versions (id, updated_us), once each however often they landed: topic, landed_us and again_us (first and last landing), published, retry_us."""
+    return (
         outbox.select(
             "id",
             "topic",
@@ -111,26 +108,70 @@ def outbox_versions(outbox: DataFrame, block: int = DAY_US) -> DataFrame:
         )
         .where("id is not null and updated_us is not null and landed_us is not null")
         .groupBy("id", "updated_us")
-        .agg(F.min("landed_us").alias("landed_us"), F.min("topic").alias("topic"), F.max("published").alias("published"), F.max("retry_us").alias("retry_us"))
-        .withColumn("block", F.floor(F.col("updated_us") / block))
+        .agg(F.min("landed_us").alias("landed_us"), F.max("landed_us").alias("again_us"), F.min("topic").alias("topic"), F.max("published").alias("published"), F.max("retry_us").alias("retry_us"))
     )
-    return running(stored(landed, "versions"), ["id"], "block", ["updated_us"], "landed_us", "ended_us", combine=F.min, backwards=True, inclusive=False).drop("block")
 
 
-def due(outbox: DataFrame, runs: DataFrame) -> DataFrame:
-    """What each succeeded run must process: run_no, outbox_id, updated_us.
+def _ended(versions: DataFrame, block: int) -> DataFrame:
+    """Versions with ended_us, the moment from which they are no longer current: a newer one has landed. One that lands after a newer one never is."""
+    cut = versions.withColumn("block", F.floor(F.col("updated_us") / block))
+    return running(cut, ["id"], "block", ["updated_us"], "landed_us", "ended_us", combine=F.min, backwards=True, inclusive=False).drop("block")
+
+
+SLICE = 1 << 16  # numbers of the log whose intervals are kept together
+EPOCHS = 2  # commits in which the history of the runs is processed
+
+
+def landings(outbox: DataFrame, runs: DataFrame, bounds: list[int], block: int = DAY_US) -> DataFrame:
+    """Moments at which a number of the log becomes available to a run: epoch, n, slice, run_no and hi (the run's moment), id, updated_us, published, ended_us.
 
-    A version's number in the log is the moment from which a run may take it: its landing, or its
-    retry_at if that is later. The run whose gap holds that number is the first that sees it; it
-    takes the version unless it is published or no longer current by then. Rows without id, topic or one of the times
-    updated_at and loaded_at, and runs without topic or began_at, are left out; other columns and
-    repeated rows change nothing; an empty table gives an empty result.
+    The log has topics one after another, within a topic the versions in the order in which they were
+    made; `n` is a version's place in it. A version that lands late has its place among those that
+    landed before it, so it leaves a gap until then. It is available to the first succeeded run at or
+    after its landing, or after its retry_at if that is later, and once more after its last landing if
+    that lies in a later epoch (number of `bounds` before it).
     """
-    versions = outbox_versions(outbox).where("not published").withColumn("ready_us", F.greatest("landed_us", "retry_us"))
-    versions = versions.where("ended_us is null or ready_us < ended_us")
+    log = positions(landed(outbox).where("topic is not null"), ["topic", "updated_us", "id"], "n")
+    versions = _ended(log, block)
+    ready = lambda at: F.when(F.col("published"), F.col(at)).otherwise(F.greatest(F.col(at), F.col("retry_us")))
+    epoch = lambda at: sum(((at > b).cast("int") for b in bounds), F.lit(0))
+    moment = lambda at: F.struct(ready(at).alias("ready_us"), epoch(ready(at)).alias("epoch"))
+    again = F.when(epoch(ready("again_us")) > epoch(ready("landed_us")), moment("again_us"))
+    points = versions.select("topic", "n", "id", "updated_us", "published", "ended_us", F.inline(F.array_compact(F.array(moment("landed_us"), again))))
     at = runs.select("run_no", "topic", wire.us_of(F.col("began_at")).alias("at"), "outcome")
-    found = locate(stored(versions, "due"), gaps(at), "topic", "ready_us", ["run_no"])
-    return found.where(F.col("ended_us").isNull() | (F.col("hi") < F.col("ended_us"))).select("run_no", F.col("id").alias("outbox_id"), "updated_us")
+    found = locate(stored(points, "landings"), gaps(at), "topic", "ready_us", ["run_no"], block)
+    return found.select("epoch", F.floor(F.col("n") / SLICE).alias("slice"), "n", "run_no", "hi", "id", "updated_us", "published", "ended_us")
+
+
+def due(outbox: DataFrame, runs: DataFrame, epochs: int = EPOCHS, ledger: Ledger | None = None) -> DataFrame:
+    """What each succeeded run must process: run_no, outbox_id, updated_us.
+
+    The history of the runs is processed in `epochs` steps, one after another in time. Each step reads
+    from the ledger which numbers of the log (see landings) were processed before, subtracts them from
+    those that became available since, and processes the gaps: a version that lands late lies in
+    one, a version that landed again doesn't. A version in a gap goes to the first run that
+    sees it, unless it is published or no longer current by then. Output and merged intervals are
+    committed together, so a step that fails is done again from the same gaps.
+    Rows without id, topic or one of the times updated_at and loaded_at, and runs without topic or
+    began_at, are left out; other columns and repeated rows change nothing; an empty table gives an
+    empty result. A new ledger is made in the shared folder unless one is given.
+    """
+    spark = outbox.sparkSession
+    ledger = ledger or Ledger(spark, folder(spark, "ledger"))
+    moments = runs.where("outcome = 'succeeded'").agg(F.percentile_approx(wire.us_of(F.col("began_at")), [i / epochs for i in range(1, epochs)] or [1.0], 1000)).take(1)[0][0]
+    bounds = sorted(set(moments or []))[: epochs - 1]
+    seen = stored(landings(outbox, runs, bounds), "seen")
+    for epoch in range(len(bounds) + 1):
+        now = seen.where(F.col("epoch") == epoch)
+        available = now.select("slice", F.col("n").alias("lo"), F.col("n").alias("hi"))
+        left = stored(subtract(available, ledger.processed(INTERVALS), ["slice"]), "gaps")
+        taken = locate(now.withColumnRenamed("hi", "run_us"), left, "slice", "n", [], SLICE)
+        taken = taken.where(~F.col("published") & (F.col("ended_us").isNull() | (F.col("run_us") < F.col("ended_us"))))
+        ledger.commit(taken.select("run_no", F.col("id").alias("outbox_id"), "updated_us"), left, ["slice"])
+    return ledger.output()
+
+
+INTERVALS = "slice bigint, lo bigint, hi bigint"
 
 
 class Ledger:
@@ -156,8 +197,11 @@ class Ledger:
         versions = sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
         if not versions:
             return {"version": 0, "parts": [], "ledger": None}
-        rows = self.spark.read.text(f"{self.path}/manifests/{versions[-1]}.json", wholetext=True).take(1)
-        return json.loads(rows[0].value)
+        stream = self._fs.open(self._Path(f"{self.path}/manifests/{versions[-1]}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
 
     def processed(self, schema: str) -> DataFrame:
         at = self._manifest()["ledger"]

@@ -8,6 +8,8 @@ whose identifier can't be read that way are resolved by exact lookup of the text
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,50 @@ BLOCK = 1 << 20  # numbers in one block, the most that one window of a producer
 RANGES = "producer string, block bigint, lo bigint, hi bigint"
 
 
+def identified(messages: DataFrame, producer: Column, number: Column, exact: Column, arrival: str, *carry: str) -> DataFrame:
+    """Identifiers as they are needed: arrival, producer and number where both can be read, else the exact text. Written once, as reading them costs more than keeping them."""
+    readable = producer.isNotNull() & number.isNotNull()
+    read = messages.select(
+        F.col(arrival).alias("arrival"), F.when(readable, producer).alias("producer"), F.when(readable, number).alias("number"), F.when(~readable, exact).alias("exact"), *carry
+    )
+    return stored(read, "identifiers")
+
+
+def _swept(read: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """First arrivals of the numbers, and the seen ranges, in the order of their beginnings: producer, block, lo, hi, arrival (null for a range), and reach, how far what lies before covers."""
+    # Copies collapse before the shuffle.
+    claims = read.where("producer is not null").groupBy("producer", "number").agg(F.min("arrival").alias("arrival"))
+    points = claims.select("producer", F.floor(F.col("number") / BLOCK).alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"), "arrival")
+    if seen is not None:
+        points = points.unionByName(seen.select("producer", "block", "lo", "hi", F.lit(None).cast("bigint").alias("arrival")))
+    return points.withColumn("reach", F.max("hi").over(_before()))
+
+
+def _before():
+    # A range of `seen` sorts before a number that it starts with, so the number counts as covered.
+    return Window.partitionBy("producer", "block").orderBy("lo", F.col("arrival").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def uncovered(swept: DataFrame) -> DataFrame:
+    """Arrivals of the numbers that no range covers."""
+    return swept.where(F.col("arrival").isNotNull() & (F.col("reach").isNull() | (F.col("reach") < F.col("lo")))).select("arrival")
+
+
+def merged(swept: DataFrame) -> DataFrame:
+    """The seen ranges with the numbers in them, disjoint: producer, block, lo, hi."""
+    island = F.sum(F.when(F.col("reach") >= F.col("lo") - 1, 0).otherwise(1)).over(_before().rowsBetween(Window.unboundedPreceding, 0))
+    return swept.withColumn("island", island).groupBy("producer", "block", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+
+def _looked_up(read: DataFrame, seen_texts: DataFrame | None) -> DataFrame:
+    """Arrivals to keep of messages whose identifier can't be read."""
+    rest = read.where("producer is null")
+    found = rest.where("exact is not null").groupBy("exact").agg(F.min("arrival").alias("arrival"))
+    if seen_texts is not None:
+        found = found.join(seen_texts, "exact", "left_anti")
+    return found.select("arrival").unionByName(rest.where("exact is null").select("arrival"))
+
+
 def accept(
     messages: DataFrame,
     producer: Column,
@@ -35,38 +81,36 @@ def accept(
     too is no message of which a copy could be told, and is always accepted. Other columns of
     `messages` are ignored; empty tables give empty results.
     """
-    readable = producer.isNotNull() & number.isNotNull()
-    # Reading identifiers costs more than keeping them, and they are needed three times.
-    read = messages.select(
-        F.col(arrival).alias("arrival"), F.when(readable, producer).alias("producer"), F.when(readable, number).alias("number"), F.when(~readable, exact).alias("exact")
-    )
-    read = stored(read, "identifiers")
-    # The first arrival of every number; copies collapse before the shuffle.
-    claims = read.where("producer is not null").groupBy("producer", "number").agg(F.min("arrival").alias("arrival"))
-    points = claims.select("producer", F.floor(F.col("number") / BLOCK).alias("block"), F.col("number").alias("lo"), F.col("number").alias("hi"), "arrival")
-    if seen is not None:
-        points = points.unionByName(seen.select("producer", "block", "lo", "hi", F.lit(None).cast("bigint").alias("arrival")))
-    # A range of `seen` sorts before a number that it starts with, so the number counts as covered.
-    before = Window.partitionBy("producer", "block").orderBy("lo", F.col("arrival").asc_nulls_first())
-    reach = F.max("hi").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    swept = points.withColumn("reach", reach)
-    fresh = swept.where(F.col("arrival").isNotNull() & (F.col("reach").isNull() | (F.col("reach") < F.col("lo")))).select(
-        F.col("arrival").alias(arrival)
-    )
-    island = F.sum(F.when(F.col("reach") >= F.col("lo") - 1, 0).otherwise(1)).over(before)
-    ranges = (
-        swept.withColumn("island", island)
-        .groupBy("producer", "block", "island")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .drop("island")
-    )
-    rest = read.where("producer is null")
-    looked_up = rest.where("exact is not null").groupBy("exact").agg(F.min("arrival").alias(arrival))
-    if seen_texts is not None:
-        looked_up = looked_up.join(seen_texts, "exact", "left_anti")
-    looked_up = looked_up.select(arrival)
-    unknown = rest.where("exact is null").select(F.col("arrival").alias(arrival))
-    return fresh.unionByName(looked_up).unionByName(unknown), ranges
+    read = identified(messages, producer, number, exact, arrival)
+    swept = _swept(read, seen)
+    kept = uncovered(swept).unionByName(_looked_up(read, seen_texts))
+    return kept.select(F.col("arrival").alias(arrival)), merged(swept)
+
+
+PARTS = 2  # deliveries of batches in which a feed is taken in
+
+
+def accept_in_parts(
+    messages: DataFrame, producer: Column, number: Column, exact: Column, arrival: str, batch: str, parts: int = PARTS
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, ranges) of a feed taken in as it was delivered: batch after batch, `parts` deliveries of batches, ranges and texts handed on from each to the next.
+
+    `batch` is a whole number that rises with `arrival`; rows without batch come first. A copy in a later delivery
+    is told by the ranges alone, one in the same delivery by its number. The result is that of one call of `accept`.
+    """
+    read = identified(messages, producer, number, exact, arrival, batch)
+    least, most = read.agg(F.min(batch), F.max(batch)).take(1)[0]
+    step = 1 if least is None else max(1, -(-(most - least + 1) // parts))
+    part = F.coalesce(F.floor((F.col(batch) - (least or 0)) / step), F.lit(0))
+    seen, told, kept = None, None, []
+    for i in range(parts):
+        now = read.where(part == i)
+        swept = stored(_swept(now, seen), "swept")
+        kept.append(uncovered(swept).unionByName(_looked_up(now, told)))
+        seen = merged(swept)
+        told = read.where((part <= i) & F.col("producer").isNull() & F.col("exact").isNotNull()).select("exact").distinct()
+    accepted = functools.reduce(DataFrame.unionByName, kept)
+    return accepted.select(F.col("arrival").alias(arrival)), seen
 
 
 def texts(messages: DataFrame, producer: Column, number: Column, exact: Column) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.sources.tables import stored
+
 _CARRY = "__carry"
 
 
@@ -47,3 +49,18 @@ def running(
     )
     inner = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return every.withColumn(out, combine(state).over(inner)).where(~F.col(_CARRY)).drop(_CARRY)
+
+
+def positions(rows: DataFrame, order: list[str], out: str, cells: int | None = None) -> DataFrame:
+    """Add `out`: each row's position from 0 in the order of these columns, which should be total.
+
+    Rows are sorted by ranges that hold about as many of them each, whatever the values; every range
+    counts its own and begins where the ranges before it end. The window without keys runs over one row
+    per range. `cells` is the number of ranges, by default the session's shuffle partitions. The result is a stored table's.
+    """
+    apart = rows.repartitionByRange(*(() if cells is None else (max(1, cells),)), *order)
+    apart = stored(apart.withColumn("__cell", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = apart.groupBy("__cell").agg(F.count("*").alias("__n")).select("__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__cell").orderBy(*order)) - 1
+    return apart.join(F.broadcast(first), "__cell").withColumn(out, F.col("__before") + inside).drop("__cell", "__before")

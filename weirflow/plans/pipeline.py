@@ -73,6 +73,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Computed once, and not again for every use in the plans below.
     feed = feed.select(
         "arrival_no",
+        "batch_no",
         F.concat_ws(":", wire.model_key(F.col("model_name")), number.cast("string")).alias("producer"),
         F.when(number.isNotNull(), version).alias("number"),
         F.when(
@@ -80,7 +81,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.to_json(F.array(wire.model_key(F.col("model_name")), wire.text(F.col("synced_id")), wire.text(F.col("synced_updated_at")))),
         ).alias("exact"),
     )
-    accepted, _ = once.accept(feed, F.col("producer"), F.col("number"), F.col("exact"), "arrival_no")
+    accepted, _ = once.accept_in_parts(feed, F.col("producer"), F.col("number"), F.col("exact"), "arrival_no", "batch_no")
     return once.duplicates(feed, accepted, "arrival_no")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import threading
 import uuid
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """Folder that all executors share: spark.checkpoint.dir. Only a local session without it gets one of our own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,18 +45,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _scopes.paths = before
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that later steps neither recompute it nor lose it with an executor.
-
-    The files stay until the enclosing `scratch` block ends, or the process does.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there stays until the enclosing `scratch` block ends, or the process does."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     paths = getattr(_scopes, "paths", None)
     if paths is None:
         atexit.register(_remove, spark, path)
     else:
         paths.append(path)
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write df once to the shared folder (see folder) and read it back, so that later steps neither recompute it nor lose it with an executor."""
+    spark = df.sparkSession
+    path = folder(spark, label)
     df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from weirflow.operators import apply, outbox
 from weirflow.plans.spec import ModelSpec
-from weirflow.sources.tables import scratch
+from weirflow.sources.tables import scratch, stored
 from weirflow.streaming.store import SnapshotStore
 
 
@@ -110,17 +110,21 @@ def poll(
 ) -> int:
     """The outbox worker: read what is due of every topic, publish it, settle it, sleep; the number of rows handled.
 
-    `publish` returns the failed rows (id, error_class, error_message); `write` gets the settled batch.
+    `publish` returns the failed rows (id, error_class, error_message); `write` gets the settled batch and must
+    have written it when it returns. Both see the same stored rows, which are removed afterwards.
     One worker per outbox; the single writer takes the place of a lock per topic.
     """
     handled, done = 0, 0
     while rounds is None or done < rounds:
         now = clock()
-        due = outbox.first_per_topic(outbox.publishable(read(), now, delay_s), batch).drop("rank")
-        n = due.count()
-        if n:
-            failed = publish(outbox.consecutive_dedupe(due, ["created_at", "id"]) if dedupe else due)
-            write(outbox.settle(due, failed, now))
+        found = outbox.first_per_topic(outbox.publishable(read(), now, delay_s), batch).drop("rank")
+        with scratch(found.sparkSession):
+            # Rows that come in meanwhile must not take the place of those that are published.
+            due = stored(found, "due")
+            n = due.count()
+            if n:
+                failed = stored(publish(outbox.consecutive_dedupe(due, ["created_at", "id"]) if dedupe else due), "failed")
+                write(outbox.settle(due, failed, now))
         handled += n
         done += 1
         time.sleep(sleep_s)
