@@ -198,3 +198,53 @@ def test_extension_follows_changes():
     assert spans.extension("abcdefghijXklmnopqrst??", "abcdefghijYklmnopqrst!!") == (21, 21, 20)
     assert spans.extension("abcdefghijklmnopqrst", "abcdefghij12klmnopqrst") == (20, 22, 20)
     assert spans.extension("abcX", "abcY") == (3, 3, 3) and spans.extension("", "abc") == (0, 0, 0)
+
+
+def test_anchors_of_equal_stretches_are_equal():
+    rng = random.Random(31)
+    word = lambda n, abc="abcdefgh": "".join(rng.choice(abc) for _ in range(n))
+    for length, k in ((40, 12), (60, 16), (50, 40)):
+        for i in range(60):
+            shared = word(length, "ab" if i % 3 == 0 else "abcdefgh") if i % 5 else "xy" * (length // 2)
+            places, steps = [], []
+            for _ in range(2):
+                before = word(rng.randrange(90))
+                found, (pos, to, step) = spans.anchored(before + shared + word(rng.randrange(90)), length, k)
+                inside = (pos >= len(before)) & (to + k <= len(before) + length)
+                steps.append({(int(p) - len(before), int(t) - len(before), int(s)) for p, t, s in zip(pos[inside], to[inside], step[inside])})
+                places.append({int(p) - len(before) for p, lo, hi in zip(*found[:3]) if lo <= len(before) <= hi})
+            both = steps[0] & steps[1]
+            ends = sorted({p for p, _, _ in both} | {t for _, t, _ in both})
+            assert both and ends[-1] - ends[0] + k >= spans.least_span(length, k) and places[0] == places[1] <= set(ends)
+
+
+def test_layout_stitches_partners():
+    a = lambda *x: np.array(x)
+    # two partners follow each other without a gap; after a gap the same partner goes on, later another one
+    pos, others = spans.layout(a(0, 10, 40, 90), a(10, 25, 55, 99), a(7, 8, 8, 9), a(100, 5, 38, 0))
+    assert pos.tolist() == [0, 10, 25, 40, 55, 90, 99]
+    assert others[:5].tolist() == [0, 10, 25, 43, 58] and others[5] > 1 << 39 and others[6] - others[5] == 9
+    # steps of two texts under one id
+    pos, others = spans.layout(a(0, 4, 10, 16), a(10, 16, 22, 30), a(1, 1, 1, 1), a(0, 4, 10, 16))
+    assert dict(zip(pos.tolist(), (others - pos).tolist())) == {0: 0, 10: 0, 22: 0, 4: spans._APART, 16: spans._APART, 30: spans._APART}
+    assert spans.chains(pos, others).tolist() == [0, 1, 0, 1, 0, 1]
+
+
+def test_rows_of_one_id_count_as_one_document(spark):
+    rng = random.Random(33)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    one, two = word(150), word(120)
+    docs = [(1, one), (1, word(20) + two), (1, one), (2, word(31) + one[20:130]), (3, two[10:110])]
+    got = {tuple(r) for r in spans.covered(spark.createDataFrame(docs, SCHEMA), length=40, k=12).collect()}
+    assert (2, 31, 141) in got and (3, 0, 100) in got and {d for d, _, _ in got} == {1, 2, 3}
+
+
+def test_spans_lie_in_chains(spark, monkeypatch):
+    docs = corpus(1)
+    df = spark.createDataFrame(docs, SCHEMA)
+    assert brute(docs, 40)
+    monkeypatch.setattr(spans, "least_span", lambda length, k: 1 << 30)  # no chain is long enough
+    assert spans.covered(df, length=40, k=12).count() == 0
+    monkeypatch.undo()
+    monkeypatch.setattr(spans, "layout", lambda pos, to, partner, partner_pos: (pos, pos * 0))  # nothing lies in order
+    assert spans.covered(df, length=40, k=12).count() == 0

@@ -2,10 +2,12 @@
 
 Every window of `length` characters is represented by one k-mer in it, its smallest by hash, so two
 equal windows have the same seed at the same place, and every shared stretch of that length holds a
-shared seed. Seeds are joined by hash, each occurrence with one partner in another document
-(linear in the size of a group, never all its pairs); matches that lie in order are chained with gap
-costs through a Fenwick tree. All matched seeds lie in some chain, so for exact spans the chains select
-nothing: the check compares the windows of all of them by content, over all documents, in shrinking blocks.
+shared seed. Anchors are such seeds of shorter windows: a shared stretch holds two of them at
+least, so the steps from one anchor to the next (both seeds and their distance) are joined by hash,
+each with one partner in another document (linear in the size of a group, never all its pairs).
+Matched anchors that lie in order are chained with gap costs through a Fenwick tree. Only what lies in a
+chain as long as the anchors of a shared stretch must be goes on to the exact check, which compares
+windows by content, over all documents, in shrinking blocks.
 Fuzzy passages (`passages`) are chained for every pair of documents instead.
 """
 
@@ -90,6 +92,33 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+def _minimizers(seeds: np.ndarray, window: int) -> np.ndarray:
+    """Place of the smallest seed of every window of so many seeds, of equal ones the first."""
+    key = (seeds >> np.uint64(_PLACE) << np.uint64(_PLACE)) | np.arange(len(seeds)).astype(np.uint64)
+    return (_sliding_min(key, window) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+
+
+def _pieces(text: str, length: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(where it begins, hashes of its prefixes, hashes of its k-mers) of each piece of a text; every window of `length` lies in one."""
+    for begin in range(0, max(0, len(text) - length + 1), PIECE):
+        prefix = _prefix(_codes(text[begin : begin + PIECE + length - 1]), 0)
+        at = np.arange(len(prefix) - k)
+        yield begin, prefix, _hashes(prefix, 0, at, at + k)
+
+
+def _sampled(begin: int, prefix: np.ndarray, seeds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    chosen = _minimizers(seeds, length - k + 1)
+    first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
+    last = np.append(first[1:], len(chosen)) - 1
+    pos = chosen[first]
+    context = _hashes(prefix, 0, first, last + length) ^ _mixed(pos - first)
+    return pos + begin, first + begin, last + begin, seeds[pos].view(np.int64), context.view(np.int64)
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]], n: int) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(n))
+
+
 def sample(text: str, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
     """Seeds of a text: (pos, lo, hi, seed, context).
 
@@ -97,26 +126,39 @@ def sample(text: str, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...
     `context` hashes all that these windows cover, and where the seed stands in it. Texts shorter
     than `length` have none.
     """
-    parts = []
-    w = length - k + 1
-    for begin in range(0, max(0, len(text) - length + 1), PIECE):
-        codes = _codes(text[begin : begin + PIECE + length - 1])
-        prefix = _prefix(codes, 0)
-        at = np.arange(len(codes) - k + 1)
-        seeds = _hashes(prefix, 0, at, at + k)
-        key = (seeds >> np.uint64(_PLACE) << np.uint64(_PLACE)) | at.astype(np.uint64)
-        chosen = (_sliding_min(key, w) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.append(True, chosen[1:] != chosen[:-1]))
-        last = np.append(first[1:], len(chosen)) - 1
-        pos = chosen[first]
-        context = _hashes(prefix, 0, first, last + length) ^ _mixed(pos - first)
-        parts.append((pos + begin, first + begin, last + begin, seeds[pos].view(np.int64), context.view(np.int64)))
-    if not parts:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(c) for c in zip(*parts))
+    return _joined([_sampled(*piece, length, k) for piece in _pieces(text, length, k)], 5)
+
+
+def anchor_run(length: int, k: int) -> int:
+    """Characters in each run of which an anchor stands: half of `length`, so that a stretch of `length` holds two anchors at least."""
+    return max(k, length // 2)
+
+
+def least_span(length: int, k: int) -> int:
+    """Characters that the anchors inside a stretch of `length` span at least: the first begins by the end of the stretch's first run, the last not before its last run."""
+    return length - 2 * anchor_run(length, k) + 2 * k
+
+
+def anchored(text: str, length: int = LENGTH, k: int = K) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(seeds as of `sample`, steps from each anchor to the next: pos, next, step).
+
+    Anchors are the smallest k-mers of each run (see anchor_run); all seeds are among them. `step`
+    hashes both anchors and their distance.
+    """
+    sampled, anchors = [], []
+    for begin, prefix, seeds in _pieces(text, length, k):
+        sampled.append(_sampled(begin, prefix, seeds, length, k))
+        chosen = np.unique(_minimizers(seeds, anchor_run(length, k) - k + 1))
+        anchors.append((chosen + begin, seeds[chosen]))
+    pos, seed = (np.zeros(0, np.int64), np.zeros(0, np.uint64)) if not anchors else (np.concatenate(c) for c in zip(*anchors))
+    pos, once = np.unique(pos, return_index=True)
+    seed = seed[once]
+    step = _mixed(seed[:-1] * np.uint64(0xD1342543DE82EF95) + (seed[1:] ^ (seed[1:] >> np.uint64(32))) * np.uint64(0xAEF17502108EF2D9) + _mixed(np.diff(pos)))
+    return _joined(sampled, 5), (pos[:-1], pos[1:], (step * np.uint64(0x7FB5D329728EA185) ^ (step >> np.uint64(31))).view(np.int64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as well mixed ones of 64 bits."""
     x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
@@ -152,16 +194,49 @@ def _classes(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(here).alias("one"), F.max(here).alias("other"), F.count("*").alias("n_rows"))
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """Occurrences of seeds that another document has too, each with one partner: adds partner and partner_pos.
+def anchors(documents: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """Seeds (doc_id, pos, lo, hi, seed, context) and steps between anchors (doc_id, pos, next, step; see anchored) of all whole texts, each with the other's columns null."""
+    names = ["doc_id", "pos", "lo", "hi", "seed", "context", "next", "step"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                out: list[list[np.ndarray]] = [[] for _ in range(9)]
+                for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
+                    if doc is None or not text:
+                        continue
+                    found, steps = anchored(text, length, k)
+                    docs = [np.full(len(c[0]), doc, np.int64) for c in (found, steps)]
+                    for c, v in zip(out, (docs[0], *found, *steps)):
+                        c.append(v)
+                    out[0].append(docs[1])
+                if not out[0]:
+                    continue
+                docs, pos, lo, hi, seed, context, at, to, step = (np.concatenate(c) for c in (out[0][::2], *out[1:]))
+                n, m = len(pos), len(at)
+                null = lambda size, t: pa.nulls(size, t)
+                whole = [pa.concat_arrays([pa.array(a, t), null(m, t)]) for a, t in zip((lo, hi, seed, context), types[2:6])]
+                ends = [pa.concat_arrays([null(n, t), pa.array(a, t)]) for a, t in zip((to, step), types[6:])]
+                both = [pa.array(np.concatenate([docs, *out[0][1::2]]), types[0]), pa.array(np.concatenate([pos, at]), types[1])]
+                yield pa.RecordBatch.from_arrays([*both, *whole, *ends], names=names)
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, pos int, lo int, hi int, seed bigint, context bigint, next int, step bigint")
+
+
+def matches(steps: DataFrame) -> DataFrame:
+    """Steps between anchors that another document takes too, each with one partner: adds partner and partner_pos.
 
-    The partner is the document with the smallest id that has the seed, and for that one the document
+    The partner is the document with the smallest id that takes the step, and for that one the document
     with the largest.
     """
-    shared = stored(_classes(found, ["seed"], "pos").where("one.doc_id <> other.doc_id"), "shared")
-    held = join_groups(found, shared, ["seed"], "n_rows")
-    partner = F.when(F.col("doc_id") == F.col("one.doc_id"), F.col("other")).otherwise(F.col("one"))
-    return held.withColumn("partner", partner["doc_id"]).withColumn("partner_pos", partner["pos"]).drop("one", "other", "n_rows")
+    by = steps.groupBy("step").agg(
+        F.min("doc_id").alias("one"), F.min_by("pos", "doc_id").alias("one_pos"), F.max("doc_id").alias("other"), F.max_by("pos", "doc_id").alias("other_pos"), F.count("*").alias("n_rows")
+    )
+    held = join_groups(steps, stored(by.where("one <> other"), "shared"), ["step"], "n_rows")
+    first = F.col("doc_id") == F.col("one")
+    return held.select("doc_id", "pos", "next", F.when(first, F.col("other")).otherwise(F.col("one")).alias("partner"), F.when(first, F.col("other_pos")).otherwise(F.col("one_pos")).alias("partner_pos"))
 
 
 def _previous(positions: np.ndarray, others: np.ndarray, k: float | np.ndarray) -> tuple[list[int], list[float]]:
@@ -196,7 +271,7 @@ def _previous(positions: np.ndarray, others: np.ndarray, k: float | np.ndarray)
     return before, score
 
 
-def chains(positions: np.ndarray, others: np.ndarray, k: int = K) -> np.ndarray:
+def chains(positions: np.ndarray, others: np.ndarray, k: float = K) -> np.ndarray:
     """Chain number of every match (position in one text, position in the other), sorted by position.
 
     A chain rises in both texts. Of all ways to go on from earlier matches each match takes the best
@@ -225,37 +300,90 @@ def branches(positions: np.ndarray, others: np.ndarray, k: float | np.ndarray =
     return found
 
 
-_SPOT = "struct<pos:int,partner_pos:int,lo:int,hi:int,seed:bigint,context:bigint>"
+_APART = 1 << 40  # between parts of a layout that no chain can bridge
+
 
+def _components(pos: list[int], to: list[int]) -> dict[int, int]:
+    """Smallest anchor of those that each anchor is tied to by steps."""
+    up = {x: x for x in (*pos, *to)}
 
-def chained(held: DataFrame, k: int = K) -> DataFrame:
-    """Chains of the matches: doc_id, partner, chain, spots (the seeds in it, in order).
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(pos, to):
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {x: top(x) for x in up}
+
+
+def layout(pos: np.ndarray, to: np.ndarray, partner: np.ndarray, partner_pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of a document's matched steps, and where they stand in the partners' texts stitched together: (positions, others).
+
+    Steps that follow each other may have different partners; their texts are stitched at the anchor that both
+    have. After a gap the text goes on where the partner does, if it is the same one and lies further on, else far away.
+    Steps overlap only where rows of one id have different texts; then each text goes on by itself.
+    """
+    _, order = np.unique(pos << 32 | to, return_index=True)
+    pos, to, partner, partner_pos = pos[order], to[order], partner[order], partner_pos[order]
+    if (to[:-1] > pos[1:]).any():
+        tied = _components(pos.tolist(), to.tolist())
+        positions = np.array(sorted(tied))
+        _, number = np.unique([tied[x] for x in positions.tolist()], return_inverse=True)
+        return positions, positions + number * _APART
+    gap = pos[1:] - to[:-1]
+    onward = partner_pos[1:] - partner_pos[:-1] - (to - pos)[:-1]
+    leap = np.where(gap == 0, 0, np.where((partner[1:] == partner[:-1]) & (onward > 0), onward, _APART))
+    start = np.cumsum(np.append(0, (to - pos)[:-1] + leap))
+    positions, at = np.unique(np.concatenate([pos, to]), return_index=True)
+    return positions, np.concatenate([start, start + to - pos])[at]
+
+
+def chained(held: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """Chains of matched anchors that are long enough for a shared stretch (see least_span): doc_id, first, last (positions of anchors).
 
     A document's matches come together in one task; their number is bounded by the document's own
-    length. Documents with the same partner don't meet.
+    length. The anchors inside a shared stretch follow each other step by step in both documents, so they
+    are in one chain.
     """
-    names = ["pos", "partner_pos", "lo", "hi", "seed", "context"]
+    run = anchor_run(length, k)
+    gain, least = max(k, 4 * GAP_COST * (run - k + 1)), least_span(length, k)
+    fields = ["pos", "next", "partner", "partner_pos"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            docs, partners, numbers, spots = [], [], [], []
-            for doc, rows in zip(batch["doc_id"].to_pylist(), batch["spots"].to_pylist()):
-                by: dict[int, list[dict]] = {}
-                for r in rows:
-                    by.setdefault(r["partner"], []).append(r)
-                for partner, own in sorted(by.items()):
-                    own.sort(key=lambda r: (r["pos"], r["partner_pos"]))
-                    chain = chains(np.array([r["pos"] for r in own]), np.array([r["partner_pos"] for r in own]), k)
-                    for number in np.unique(chain).tolist():
+            docs, firsts, lasts = [], [], []
+            spots = batch["steps"]
+            columns = [spots.values.field(i).to_numpy(zero_copy_only=False) for i in range(len(fields))]
+            offsets = spots.offsets.to_numpy()
+            for doc, a, b in zip(batch["doc_id"].to_pylist(), offsets, offsets[1:]):
+                positions, others = layout(*(c[a:b].astype(np.int64) for c in columns))
+                if positions[-1] - positions[0] + k < least:
+                    continue
+                chain = chains(positions, others, gain)
+                for number in range(int(chain.max()) + 1):
+                    own = np.flatnonzero(chain == number)
+                    if min(positions[own[-1]] - positions[own[0]], others[own[-1]] - others[own[0]]) + k >= least:
                         docs.append(doc)
-                        partners.append(partner)
-                        numbers.append(number)
-                        spots.append([{n: own[i][n] for n in names} for i in np.flatnonzero(chain == number)])
-            spot = pa.struct([(n, pa.int64() if n in ("seed", "context") else pa.int32()) for n in names])
-            yield _rows([docs, partners, numbers, spots], [pa.int64(), pa.int64(), pa.int32(), pa.list_(spot)], ["doc_id", "partner", "chain", "spots"])
+                        firsts.append(positions[own[0]])
+                        lasts.append(positions[own[-1]])
+            yield _rows([docs, firsts, lasts], [pa.int64(), pa.int32(), pa.int32()], ["doc_id", "first", "last"])
+
+    grouped = held.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("steps"))
+    return grouped.mapInArrow(kept, "doc_id bigint, first int, last int")
+
 
-    grouped = held.groupBy("doc_id").agg(F.collect_list(F.struct("partner", *names)).alias("spots"))
-    return grouped.mapInArrow(run, f"doc_id bigint, partner bigint, chain int, spots array<{_SPOT}>")
+def chained_seeds(documents: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """The seeds (see sample) that stand among the anchors of a long enough chain, and with them all windows that may be shared."""
+    if not k < length:
+        raise ValueError("seeds must be shorter than the stretches that are looked for")
+    found = stored(anchors(documents, length, k), "anchors")
+    held = stored(matches(found.where("step is not null").select("doc_id", "pos", "next", "step")), "matches")
+    by = chained(held, length, k).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("chains"))
+    seeds = found.where("seed is not null").select("doc_id", "pos", "lo", "hi", "seed", "context").join(by, "doc_id")
+    return seeds.where(F.exists("chains", lambda c: F.col("pos").between(c["first"], c["last"]))).drop("chains")
 
 
 BLOCK = 16  # windows in a block of the exact check
@@ -322,11 +450,6 @@ def merged(intervals: DataFrame) -> DataFrame:
     )
 
 
-def _chains(documents: DataFrame, length: int, k: int) -> DataFrame:
-    found = stored(seeds(documents, length, k), "seeds")
-    return chained(stored(matches(found), "matches"), k)
-
-
 def covered(documents: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Parts of documents that stand verbatim, `length` characters or more, in another one: doc_id, span_start, span_end.
 
@@ -335,7 +458,7 @@ def covered(documents: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
     count as one document. An empty table gives an empty result.
     """
     small(documents.sparkSession)
-    spots = stored(_chains(documents, length, k).select("doc_id", F.inline("spots")).select("doc_id", "pos", "lo", "hi", "seed", "context"), "chained")
+    spots = stored(chained_seeds(documents, length, k), "chained")
     spots = stored(_judged(spots, "context", "lo"), "spots")
     span = lambda start, windows: [F.col(start).cast("bigint").alias("span_start"), (F.col(start) + windows + length).cast("bigint").alias("span_end")]
     of_spots = spots.where("full").select("doc_id", *span("lo", F.col("hi") - F.col("lo")))
