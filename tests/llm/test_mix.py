@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -45,6 +46,31 @@ def test_entropy_is_met():
     assert math.isclose(mix.entropy({a.source: a.budget / 300 for a in found}), wanted, rel_tol=1e-6)
 
 
+def test_one_exponent_meets_the_repetition_limit():
+    tokens, targets = {"a": 1_000_000, "b": 10}, {"a": (0.5, 4), "b": (0.5, 4)}
+    small = {a.source: a.budget for a in mix.plan(tokens, targets)}
+    assert small == {"a": 40, "b": 40}  # the shares are what counts
+    large = {a.source: a.budget for a in mix.plan(tokens, targets, scale=1.0, one_exponent=True)}
+    assert math.isclose(sum(large.values()), 1_000_010) and math.isclose(large["b"], 40, rel_tol=1e-6)
+    three = {a.source: a.budget for a in mix.plan({"a": 1000, "b": 100, "c": 100}, {"a": (0.2, 1), "b": (0.4, 2), "c": (0.4, 8)}, scale=1.0, one_exponent=True)}
+    path = mix.tempered({"a": 10 / 12, "b": 1 / 12, "c": 1 / 12}, {"a": 0.2, "b": 0.4, "c": 0.4}, 0.4)
+    assert math.isclose(three["b"], 200, rel_tol=1e-6) and math.isclose(three["b"], three["c"]) and path["b"] == path["c"]
+
+
+def test_shares_come_from_the_exponent(monkeypatch):
+    tokens, targets = {"a": 900, "b": 90, "c": 10}, {s: (1 / 3, 5) for s in "abc"}
+    share = lambda: {a.source: a.budget for a in mix.plan(tokens, targets)}["a"]
+    assert math.isclose(share(), 50)
+    monkeypatch.setattr(mix, "bisect", lambda fits: 0.0)
+    assert math.isclose(share(), 135)  # natural shares
+    monkeypatch.setattr(mix, "tempered", None)
+    try:
+        share()
+    except TypeError:
+        return
+    raise AssertionError("the shares don't come from the path")
+
+
 TARGETS = [("web", 0.5, 1), ("Books ", 0.3, 2), ("code", 0.15, 3), ("missing", 0.05, 4), (None, 0.1, 1)]
 
 
@@ -79,6 +105,21 @@ def test_mix_reaches_its_targets(spark):
     assert sorted(again.collect()) == sorted(rows)
 
 
+def test_vocabulary_is_sent_to_executors_without_it(spark, tmp_path):
+    import shutil
+
+    path = shutil.copy(mix.default_vocabulary(), tmp_path / "elsewhere.tiktoken")
+    mix._send(spark, str(path))
+
+    def count(batches):
+        for batch in batches:
+            size = mix._counter("/nowhere/elsewhere.tiktoken")  # as on an executor that doesn't have the driver's file
+            yield pa.RecordBatch.from_arrays([pa.array([size(t) for t in batch["text"].to_pylist()], pa.int64())], names=["n"])
+
+    df = spark.createDataFrame([("a few words",)], "text string")
+    assert [r.n for r in df.mapInArrow(count, "n bigint").collect()] == [3]
+
+
 def test_small_blocks_fill_the_budget(spark, monkeypatch):
     monkeypatch.setattr(mix, "BLOCK_DOCUMENTS", 50)
     _, documents, targets = _tables(spark)

@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.batches import small
@@ -33,17 +35,28 @@ def default_vocabulary() -> str:
 
 
 _encoders: dict[str, Callable[[str], int]] = {}
+_sent: set[tuple[str, str]] = set()
 
 
-def _counter(vocabulary: str) -> Callable[[str], int]:
-    """Token counter of a vocabulary file in tiktoken's form; made once in a Python worker."""
+def _send(spark: SparkSession, vocabulary: str) -> None:
+    """Hand the vocabulary file to the executors, once per application, for those that don't have it at its path."""
+    sent = (spark.sparkContext.applicationId, vocabulary)
+    if sent not in _sent:
+        spark.sparkContext.addFile(vocabulary)
+        _sent.add(sent)
+
+
+def _counter(vocabulary: str, pattern: str | None = None) -> Callable[[str], int]:
+    """Token counter of a vocabulary file in tiktoken's form; made once in a Python worker. `pattern` splits texts before the merges."""
     if vocabulary not in _encoders:
-        import public_tokenizers
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        if pattern is None:
+            from public_tokenizers import PATTERN as pattern
+        path = vocabulary if os.path.exists(vocabulary) else SparkFiles.get(os.path.basename(vocabulary))
+        with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         _encoders[vocabulary] = lambda text: len(encoding.encode_ordinary(text))
     return _encoders[vocabulary]
 
@@ -52,12 +65,15 @@ def source_key(column: str = "source"):
     return F.lower(F.btrim(F.col(column), F.lit(_BLANKS)))
 
 
-def sized(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, source and n_tokens of whole texts; null texts have 0 tokens."""
+def sized(documents: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, source and n_tokens of whole texts; null texts have 0 tokens. `vocabulary` is a file on the driver, `pattern` by default that of the public tokenizers."""
     path = vocabulary or default_vocabulary()
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
+    _send(documents.sparkSession, path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        size = _counter(path)
+        size = _counter(path, pattern)
         for batch in batches:
             tokens = pa.array([size(t) if t else 0 for t in batch["text"].to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["source"], tokens], names=["doc_id", "source", "n_tokens"])
@@ -77,6 +93,8 @@ class Allotment:
 
 def tempered(natural: dict[str, float], target: dict[str, float], exponent: float) -> dict[str, float]:
     """Shares on the geometric path from the natural ones (exponent 0) to the target (exponent 1)."""
+    if exponent == 1:
+        return dict(target)  # as given, without rounding
     weights = {s: natural[s] * (target[s] / natural[s]) ** exponent for s in natural}
     total = sum(weights.values())
     return {s: w / total for s, w in weights.items()}
@@ -102,14 +120,17 @@ def plan(
     total: float | None = None,
     target_entropy: float | None = None,
     one_exponent: bool = False,
+    scale: float | None = None,
 ) -> list[Allotment]:
     """How much of each source the mix takes.
 
     `tokens` has what each source holds, `targets` its target share and the number of times that a
-    document may be used. Without `total` the mix is as large as it can be with every source that
-    has documents at its target share. With a `total` that some sources can't fill, those give all
-    that their repetitions allow and the others share the rest by their targets; with `one_exponent`
-    all sources move together, at the largest exponent that meets the repetition limits.
+    document may be used. Natural shares are exponentiated towards the target shares, with the largest
+    exponent, of those up to 1, that meets the repetition limits of all sources at the mix's size. Without
+    `total` that size is what the source with the scarcest share can fill at its target, so the exponent comes
+    out as 1 and every source that has documents gets its target share. A larger `total`, or `scale`, the size as a
+    multiple of what the listed sources hold, brings it down with `one_exponent`, so that all sources move together; without it sources
+    that can't fill their target give all that their repetitions allow and the others share the rest by theirs.
     `target_entropy` (nats) bisects the exponent so that the shares' entropy comes down or up to it,
     as far as the path reaches. Sources without documents, target or repetitions get nothing.
     """
@@ -124,11 +145,15 @@ def plan(
             rises = entropy(target) > entropy(natural)
             reach = lambda e: (entropy(tempered(natural, target, e)) <= target_entropy) == rises
             target = tempered(natural, target, bisect(reach))
-        if total is None:
+        if total is None and scale is not None:
+            total = scale * in_all
+        scarcest = total is None
+        if scarcest:
             total = min(caps[s] / target[s] for s in held)
         total = min(total, sum(caps.values()))
-        if one_exponent:
-            shares = tempered(natural, target, bisect(lambda e: all(total * p <= caps[s] * (1 + 1e-12) for s, p in tempered(natural, target, e).items())))
+        if one_exponent or scarcest:
+            fits = lambda e: all(total * p <= caps[s] * (1 + 1e-12) for s, p in tempered(natural, target, e).items())
+            shares = tempered(natural, target, bisect(fits))
             budgets = {s: min(caps[s], total * p) for s, p in shares.items()}
         else:
             free, left = dict(target), total
@@ -157,6 +182,7 @@ def mix(
     total: float | None = None,
     target_entropy: float | None = None,
     one_exponent: bool = False,
+    scale: float | None = None,
     seed: int = 42,
 ) -> DataFrame:
     """The documents drawn: doc_id, source (lower case, trimmed), n_tokens and copies, one row per document.
@@ -177,7 +203,7 @@ def mix(
     own = documents.withColumn("source", source_key()).join(F.broadcast(listed.select("source").distinct()), "source", "left_semi")
     sizes = stored(sized(own, vocabulary).where("n_tokens > 0"), "sizes")
     totals = {r.source: (r.tokens, r.documents) for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")).collect()}
-    plans = plan({s: t for s, (t, _) in totals.items()}, wanted, total, target_entropy, one_exponent)
+    plans = plan({s: t for s, (t, _) in totals.items()}, wanted, total, target_entropy, one_exponent, scale)
     control = documents.sparkSession.createDataFrame(
         [(p.source, p.passes, float(p.rest), max(1, -(-totals.get(p.source, (0, 0))[1] // BLOCK_DOCUMENTS))) for p in plans],
         "source string, passes int, rest double, blocks bigint",

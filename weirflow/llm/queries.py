@@ -24,6 +24,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix as large as what the listed sources hold, with the largest exponent that meets their repetition limits."""
+    return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), scale=1.0, one_exponent=True)
+
+
+def p7_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.shares(p7_tempered(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.covered(table(spark, sf_dir, "documents"))
 
@@ -37,7 +46,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares, p8_passages)}
+QUERIES = {q.__name__: q for q in (p6_found, p6_leaks, p7_mix, p7_shares, p7_tempered, p7_tempered_shares, p8_found, p8_shares, p8_passages)}
 
 # Tokens of a tokenizer, word matching with changed, added and missing words, and maximal shared
 # spans over all pairs have no SQL that ends on whole tables; tests/llm hold them against brute force.
