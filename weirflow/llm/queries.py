@@ -16,6 +16,11 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p6_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every item that p6_found looks for, and those that it leaves out as instruction or answer options."""
+    return leak.left_out(table(spark, sf_dir, "eval_items"))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -46,7 +51,7 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p6_leaks, p7_mix, p7_shares, p7_tempered, p7_tempered_shares, p8_found, p8_shares, p8_passages)}
+QUERIES = {q.__name__: q for q in (p6_found, p6_leaks, p6_left_out, p7_mix, p7_shares, p7_tempered, p7_tempered_shares, p8_found, p8_shares, p8_passages)}
 
 # Tokens of a tokenizer, word matching with changed, added and missing words, and maximal shared
 # spans over all pairs have no SQL that ends on whole tables; tests/llm hold them against brute force.
