@@ -405,6 +405,26 @@ def test_consumer_matches_a_depth_first_run(spark):
     assert got == {k: (ms(s["created_at"]), ms(s["updated_at"]), ms(s["canceled_at"])) for k, s in state.items()}
 
 
+def test_consumer_orders_by_values_not_by_texts(spark):
+    record = lambda i, **k: json.dumps(_message("rental_updated", {"id": 1, "name": f"v{i}", "links": {"bookings": [1]}, "bookings": [{"id": 5, "name": f"b{i}"}]} | k))
+    start = 1_700_000_000_000
+    for first, second in (("a" * 20, "a" * 19 + "b"), ("x/1", "x/2"), ("long/topic/name/of/its/own", "long/topic/name/of/its/own")):
+        ids = [start + i for i in range(6)] + [9_000_000_000_000_000_000 + i for i in range(6)] + [-5, 7]
+        data = [(t, i, NOW, record(f"{t}-{i}")) for t in sorted({first, second}) for i in ids]
+        rng = random.Random(3)
+        rng.shuffle(data)
+        df = spark.createDataFrame(data, "topic string, n bigint, received_at timestamp_ntz, message_value string").repartition(5)
+        state, feed, _ = apply.consume(df, ["topic", "n"], [ModelSpec("Rental"), ModelSpec("Booking")])
+        last = max((t, i) for t, i, *_ in data)
+        assert {json.loads(r.synced_data)["name"] for r in state.collect()} == {f"v{last[0]}-{last[1]}", f"b{last[0]}-{last[1]}"}
+        places = [r.place for r in feed.collect()]
+        assert len(places) == len(set(places)) == 2 * len(data)
+    one, two = ("a/1", "2"), ("a", "1/2")  # no two places share a name
+    df = spark.createDataFrame([(*one, NOW, record(1)), (*two, NOW, record(2)), (None, "~", NOW, record(3))], "a string, b string, received_at timestamp_ntz, message_value string")
+    _, feed, _ = apply.consume(df, ["a", "b"], [ModelSpec("Rental"), ModelSpec("Booking")])
+    assert len({r.place for r in feed.collect()}) == 6
+
+
 def test_models_may_embed_each_other(spark):
     messages = [_message("booking_created", {"id": 1, "links": {"rental": 5}, "rental": {"id": 5, "links": {"bookings": [7]}, "bookings": [{"id": 7}]}}, model="Booking")]
     state, _, rejects = _consume(spark, messages, [ModelSpec("Rental"), ModelSpec("Booking")])

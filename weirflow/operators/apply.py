@@ -163,7 +163,7 @@ def _diff(old: dict, new: dict) -> dict:
 
 
 def _folder(specs: dict[str, ModelSpec], out_schema: pa.Schema):
-    """State machine over rows sorted by model, synced_id and place; a key's stored state has the empty place and comes first."""
+    """State machine over rows sorted by model, synced_id and order; a key's stored state has the empty place and comes first."""
 
     def step(spec: ModelSpec, state: dict | None, row: dict) -> tuple[dict | None, tuple]:
         time = row["updated_us"] if row["updated_us"] is not None else row["created_us"]
@@ -240,9 +240,10 @@ def _arrow(ddl: str) -> pa.DataType:
 def _fold(rows: DataFrame, specs: dict[str, ModelSpec]) -> DataFrame:
     schema = pa.schema([("state", _arrow(STATE)), ("feed", _arrow(FEED))])
     as_struct = lambda ddl: "struct<" + ",".join(f"{n}:{t}" for n, t in (f.split() for f in ddl.split(","))) + ">"
-    rows = rows.select([f.split()[0] for f in _IN.split(",")])
-    sorted_rows = rows.repartition("model", "synced_id").sortWithinPartitions("model", "synced_id", "place")
-    return sorted_rows.mapInArrow(_folder(specs, schema), f"state {as_struct(STATE)}, feed {as_struct(FEED)}")
+    columns = [f.split()[0] for f in _IN.split(",")]
+    # A stored state has no order and comes before all else.
+    sorted_rows = rows.select(*columns, "order").repartition("model", "synced_id").sortWithinPartitions("model", "synced_id", "order")
+    return sorted_rows.select(columns).mapInArrow(_folder(specs, schema), f"state {as_struct(STATE)}, feed {as_struct(FEED)}")
 
 
 def _rows(canonical: DataFrame) -> DataFrame:
@@ -253,6 +254,7 @@ def _rows(canonical: DataFrame) -> DataFrame:
         "model",
         wire.whole_number(text("synced_id")).alias("synced_id"),
         "place",
+        "order",
         "parent",
         "event",
         wire.event_kind(F.col("event")).alias("kind"),
@@ -275,9 +277,21 @@ def _kept(records: DataFrame, label: str) -> DataFrame:
     return stored(_rows(decode.canonical(records.where(F.try_variant_get("record", "$", "map<string,variant>").isNotNull()))), label)
 
 
-def _place(*parts: Column) -> Column:
-    """A text that sorts as the parts do."""
-    return F.concat_ws("/", *(F.lpad(p.cast("string"), 12, "0") for p in parts))
+def _part(value: Column, number: bool) -> Column:
+    """A part of a place as text: different values give different texts, also where parts are joined by "/". Numbers are padded for the eye only."""
+    if number:
+        digits = F.coalesce(value.cast("string"), F.lit("~"))
+        return F.lpad(digits, F.greatest(F.lit(12), F.length(digits)), F.lit("0"))
+    return F.coalesce(F.replace(F.replace(value.cast("string"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.lit("~"))
+
+
+def _place(messages: DataFrame, order: list[str]) -> Column:
+    """Name of a message's place in the order, different for different places. The order itself comes from the columns, not from this text."""
+    numbers = {c for c, t in messages.dtypes if t in ("tinyint", "smallint", "int", "bigint") or t.startswith("decimal")}
+    return F.concat_ws("/", *(_part(F.col(c), c in numbers) for c in order))
+
+
+_PATH = "array<struct<many:int,name:string,position:int>>"
 
 
 def consume(
@@ -285,6 +299,8 @@ def consume(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state, feed, rejects) of messages applied in `order` to the target (see STATE).
 
+    `order` names columns of any types that can be ordered; messages that tie in it are taken in any order.
+
     Events of models that aren't listed are dropped. An embedded record counts only if the record that
     it lies in was accepted; then it passes the gate of its own key. Models may embed each other in
     cycles: whether a record counts depends on earlier records alone, so all are folded at once, those
@@ -295,7 +311,7 @@ def consume(
     leaves the target as it is.
     """
     specs = {m.name: m for m in models}
-    messages = messages.withColumn("__at", _place(*(F.col(c) for c in order)))
+    messages = messages.withColumns({"__at": _place(messages, order), "__order": F.struct(*order)})
     bad = decode.unreadable(messages).select(F.lit("unreadable").alias("reason"), F.col("__at").alias("place"), F.col("message_value").alias("detail"))
     events = decode.events(messages).withColumn("model", wire.model_name(F.col("model_name"), tuple(specs)))
     events = events.where(F.col("model").isNotNull() & wire.event_kind(F.col("event")).isNotNull())
@@ -303,14 +319,17 @@ def consume(
     bad = bad.unionByName(ignored.select(F.concat(F.lit("ignored by "), "ignored_by").alias("reason"), _place_of("__at", "event_no").alias("place"), F.col("event").alias("detail")))
     tops = decode.records(kept).withColumn("place", _place_of("__at", "event_no", "record_no")).withColumn("root", F.lit(True))
     tops = tops.withColumn("received_us", wire.us_of(F.col("received_at"))).withColumn("parent", F.lit(None).cast("string"))
+    tops = tops.withColumn("order", F.struct(F.col("__order").alias("at"), "event_no", "record_no", F.array().cast(_PATH).alias("path")))
     known = F.create_map(*(F.lit(x) for m in specs for x in (m.lower(), m)))
     level = _kept(tops, "tops")
     rows = level.drop("has_many", "has_one")
     # One round per level of embedding; each writes only what lies in the level before.
     while True:
-        inner = decode.children(level.where("synced_id is not null"), ["place", "event", "received_us"]).withColumn("parent", F.col("place"))
+        inner = decode.children(level.where("synced_id is not null"), ["place", "order", "event", "received_us"]).withColumn("parent", F.col("place"))
         # To-many relations come before to-one ones, as they are applied.
-        inner = inner.withColumn("place", F.concat_ws("/", "place", F.when(F.col("to_many"), "0").otherwise("1"), "name", F.lpad(F.col("position").cast("string"), 12, "0")))
+        step = F.struct(F.when(F.col("to_many"), 0).otherwise(1).alias("many"), "name", "position")
+        inner = inner.withColumn("place", F.concat_ws("/", "place", step["many"].cast("string"), _part(F.col("name"), False), _part(F.col("position"), True)))
+        inner = inner.withColumn("order", F.col("order").withField("path", F.concat("order.path", F.array(step))))
         inner = inner.withColumn("model", known[F.lower(F.regexp_replace(decode.singular(F.col("name")), "_", ""))]).where(F.col("model").isNotNull())
         level = _kept(inner.withColumn("root", F.lit(False)), "inner")
         if level.isEmpty():
@@ -336,7 +355,7 @@ def consume(
 
 
 def _place_of(first: str, *rest: str) -> Column:
-    return F.concat_ws("/", F.col(first), *(F.lpad(F.col(c).cast("string"), 12, "0") for c in rest))
+    return F.concat_ws("/", F.col(first), *(_part(F.col(c), True) for c in rest))
 
 
 def local_changes(feed: DataFrame) -> DataFrame:
