@@ -199,6 +199,32 @@ def test_nested_deep_chain(spark):
     assert len(got) == 299 and all(child == parent + "/a:0" for _, parent, child in got)
 
 
+def test_nested_below_deep_attributes(spark):
+    deep = "[" * 12_000 + "]" * 12_000
+    text = '{"message":[{"model_name":"Rental","data":[{"id":1,"settings":' + deep + ',"links":{"fee":2},"fee":{"id":2}},{"id":3}]}]}'
+    nodes, got = _paths(spark, [text])
+    assert got == [(0, "0/0", "0/0/fee:0")]
+    assert sorted(r.record_id for r in nodes.collect()) == ["1", "2", "3"]
+    assert [r.attributes for r in nodes.where("record_id = '1'").collect()] == ['{"settings": ' + deep + "}"]
+
+
+def test_node_tables(spark):
+    tax = {"id": "9", "name": "t", "updated_at": "2025-01-01", "links": {"account": "07"}}
+    rental = {"id": 1, "name": 5, "canceled_at": None, "links": {"taxes": [9, 10], "fee": {"type": "Tax", "id": 3}, "account": 4}, "taxes": [tax, {"id": "x"}], "fee": {"id": 3}}
+    values = [json.dumps({"message": [{"model_name": "Rental", "data": [rental]}, {"model_name": "Tax", "data": tax}]}), None, "{"]
+    nodes = nested.label(spark.createDataFrame(list(enumerate(values)), "message_id bigint, message_value string").withColumn("depth", F.lit("clash")))
+    taxes = nested.node_table(nodes, "Tax", {"name": "string", "nothing": "bigint"}, ("account",))
+    assert dict(taxes.dtypes)["id"] == "bigint" and dict(taxes.dtypes)["updated_us"] == "bigint"
+    got = {r.record_path: (r.parent_path, r.parent_model, r.parent_id, r.id, r.name, r.nothing, r.updated_us, r.account_id) for r in taxes.collect()}
+    day = 1735689600000000
+    assert got == {
+        "0/0/taxes:0": ("0/0", "Rental", 1, 9, "t", None, day, 7), "0/0/taxes:1": ("0/0", "Rental", 1, None, None, None, None, None),
+        "0/0/fee:0": ("0/0", "Rental", 1, 3, None, None, None, None), "1/0": (None, None, None, 9, "t", None, day, 7),
+    }
+    assert [r.name for r in nested.node_table(nodes, "Rental").collect()] == ["5"]
+    assert nested.node_table(nodes.limit(0), "Tax").count() == 0
+
+
 # --- problem 4
 
 

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from weirflow.functions import wire
+from weirflow.functions import naming, wire
+from weirflow.functions.jsontext import decoded, encoded
 from weirflow.operators import decode
 from weirflow.operators.scan import running
 from weirflow.plans.spec import ModelSpec
-from weirflow.sources.tables import stored
+from weirflow.sources.tables import spread, stored
 
 # --- duplicates within a batch -------------------------------------------------------------------
 
@@ -272,9 +276,76 @@ def _rows(canonical: DataFrame) -> DataFrame:
     )
 
 
-def _kept(records: DataFrame, label: str) -> DataFrame:
-    """Records that are objects, canonical and written once."""
-    return stored(_rows(decode.canonical(records.where(F.try_variant_get("record", "$", "map<string,variant>").isNotNull()))), label)
+_NUMBER = "\ue000weirflow number "  # before numbers with fraction or exponent while a record passes Python, so that they come out as they went in
+_QUOTED = re.compile(json.dumps(_NUMBER, ensure_ascii=False)[:-1] + r'([^"]*)"')
+_STEP = StructType([StructField("many", IntegerType()), StructField("name", StringType()), StructField("position", IntegerType())])
+_OWN = [("place", StringType()), ("parent", StringType()), ("path", ArrayType(_STEP)), ("model", StringType()), ("record", StringType())]
+
+
+def _embedded(record: dict) -> Iterator[tuple[bool, str, int, dict]]:
+    """Records that lie in a record: (to many, name, position, record). A link's array makes a relation to many, another link one to one, named by its type if it has one."""
+    links = record.get("links")
+    for key, value in links.items() if isinstance(links, dict) else ():
+        inner = record.get(key)
+        many = isinstance(value, list)
+        name = key
+        if isinstance(value, dict) and value.get("type") is not None and not isinstance(value["type"], (dict, list)):
+            name = value["type"] if isinstance(value["type"], str) else encoded(value["type"])
+        inner = inner if isinstance(inner, list) else [] if inner is None else [inner]
+        for i, r in enumerate(inner if many else inner[:1]):
+            if isinstance(r, dict):
+                yield many, name, i, r
+
+
+def walked(tops: DataFrame, known: dict[str, str]) -> DataFrame:
+    """All records of top records (place, model and the columns that go on to embedded ones; record as VARIANT), one pass over any depth.
+
+    Each record comes without those that lie in it, with its model, place, the place of the record that it lies in (parent, null for a
+    top one) and the path from the top one. Records of models that aren't `known` (by lower case) are left out with all that lies in them, and so is what lies in a record without id.
+    """
+    carried = [c for c in tops.columns if c not in ("record", "place", "model")]
+    names = [n for n, _ in _OWN]
+    types = [pa.string(), pa.string(), to_arrow_type(_OWN[2][1]), pa.string(), pa.string()]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        number = lambda text: int(text) if len(text) < 19 else _NUMBER + text
+        for batch in batches:
+            rows: list[tuple] = []
+            at: list[int] = []
+
+            def batched() -> pa.RecordBatch:
+                carry = batch.select(carried).take(pa.array(at, pa.int64()))
+                columns = zip(*rows) if rows else [[] for _ in names]
+                return pa.RecordBatch.from_arrays([*carry.columns, *(pa.array(c, t) for c, t in zip(columns, types))], names=[*carried, *names])
+
+            for i, (place, model, text) in enumerate(zip(*(batch[c].to_pylist() for c in ("place", "model", "record")))):
+                top = decoded(text, number, lambda t: _NUMBER + t)
+                left: list[tuple] = [(top, place, None, [], model)] if isinstance(top, dict) else []
+                while left:
+                    record, place, parent, path, model = left.pop()
+                    links = record.get("links") if isinstance(record.get("links"), dict) else {}
+                    own = {k: v for k, v in record.items() if k in decode.RESERVED or k not in links}
+                    rows.append((place, parent, path, model, _QUOTED.sub(r"\1", encoded(own))))
+                    at.append(i)
+                    if record.get("id") is None and record.get("synced_id") is None:
+                        continue
+                    for many, name, position, inner in _embedded(record):
+                        of = known.get(naming.singular(name).replace("_", "").lower())
+                        if of is not None:
+                            step = {"many": 0 if many else 1, "name": name, "position": position}
+                            shown = name.replace("~", "~0").replace("/", "~1")
+                            left.append((inner, f"{place}/{step['many']}/{shown}/{position:012}", place, [*path, step], of))
+                if len(rows) >= MOST_RECORDS:
+                    yield batched()
+                    rows.clear()
+                    at.clear()
+            yield batched()
+
+    schema = StructType([*(tops.schema[c] for c in carried), *(StructField(n, t) for n, t in _OWN)])
+    return tops.withColumn("record", F.to_json("record")).select(*carried, "place", "model", "record").mapInArrow(walk, schema)
+
+
+MOST_RECORDS = 8192  # handed on at once
 
 
 def _part(value: Column, number: bool) -> Column:
@@ -304,14 +375,15 @@ def consume(
     Events of models that aren't listed are dropped. An embedded record counts only if the record that
     it lies in was accepted; then it passes the gate of its own key. Models may embed each other in
     cycles: whether a record counts depends on earlier records alone, so all are folded at once, those
-    in rejected ones are taken out, and this is repeated until nothing changes. Records without id,
+    in rejected ones are taken out, and the keys that lose or gain rows by it are folded again until none does. Records without id,
     ignored events and unreadable messages are rejects (reason, place, detail). The feed has a row per
     record that was looked at, with action and changed attributes; the state also holds the target's rows
     that nothing touched. Null messages change nothing; repeated ones are applied again; an empty table
     leaves the target as it is.
     """
     specs = {m.name: m for m in models}
-    messages = messages.withColumns({"__at": _place(messages, order), "__order": F.struct(*order)})
+    # Reading a message takes long for its size.
+    messages = spread(messages).withColumns({"__at": _place(messages, order), "__order": F.struct(*order)})
     bad = decode.unreadable(messages).select(F.lit("unreadable").alias("reason"), F.col("__at").alias("place"), F.col("message_value").alias("detail"))
     events = decode.events(messages).withColumn("model", wire.model_name(F.col("model_name"), tuple(specs)))
     events = events.where(F.col("model").isNotNull() & wire.event_kind(F.col("event")).isNotNull())
@@ -320,36 +392,34 @@ def consume(
     tops = decode.records(kept).withColumn("place", _place_of("__at", "event_no", "record_no")).withColumn("root", F.lit(True))
     tops = tops.withColumn("received_us", wire.us_of(F.col("received_at"))).withColumn("parent", F.lit(None).cast("string"))
     tops = tops.withColumn("order", F.struct(F.col("__order").alias("at"), "event_no", "record_no", F.array().cast(_PATH).alias("path")))
-    known = F.create_map(*(F.lit(x) for m in specs for x in (m.lower(), m)))
-    level = _kept(tops, "tops")
-    rows = level.drop("has_many", "has_one")
-    # One round per level of embedding; each writes only what lies in the level before.
-    while True:
-        inner = decode.children(level.where("synced_id is not null"), ["place", "order", "event", "received_us"]).withColumn("parent", F.col("place"))
-        # To-many relations come before to-one ones, as they are applied.
-        step = F.struct(F.when(F.col("to_many"), 0).otherwise(1).alias("many"), "name", "position")
-        inner = inner.withColumn("place", F.concat_ws("/", "place", step["many"].cast("string"), _part(F.col("name"), False), _part(F.col("position"), True)))
-        inner = inner.withColumn("order", F.col("order").withField("path", F.concat("order.path", F.array(step))))
-        inner = inner.withColumn("model", known[F.lower(F.regexp_replace(decode.singular(F.col("name")), "_", ""))]).where(F.col("model").isNotNull())
-        level = _kept(inner.withColumn("root", F.lit(False)), "inner")
-        if level.isEmpty():
-            break
-        rows = rows.unionByName(level.drop("has_many", "has_one"))
+    # Stored as parts of the envelope, which is parsed once.
+    every = walked(tops.select("place", "model", "event", "received_us", "order", "record"), {m.lower(): m for m in specs})
+    every = every.withColumns({"order": F.col("order").withField("path", F.col("path")), "root": F.col("parent").isNull(), "record": F.try_parse_json("record")})
+    rows = stored(_rows(decode.canonical(every)).drop("has_many", "has_one"), "records")
     start = None
     if target is not None:
         start = target.select("model", "synced_id", F.lit("").alias("place"), "created_us", "updated_us", "canceled_us", F.col("synced_data").alias("data"))
-    parents = rows.where("parent is not null").select("parent").distinct()
-    passed = stored(parents, "parents")
+    every_row = rows.where("synced_id is not null")
+    if start is not None:
+        every_row = every_row.unionByName(start, allowMissingColumns=True)
+    key = ["model", "synced_id"]
+    parents = stored(rows.where("parent is not null").select("parent").distinct(), "parents")
+    passed, keys, done = parents, None, None
     while True:
-        present = rows.where("parent is null").unionByName(rows.join(passed, "parent", "left_semi").select(rows.columns))
-        fold_in = present.where("synced_id is not null")
-        done = stored(_fold(fold_in if start is None else fold_in.unionByName(start, allowMissingColumns=True), specs), "applied")
+        # A key is folded by itself, so only those with rows that came or went are folded again.
+        present = every_row if keys is None else every_row.join(keys, key, "left_semi").select(every_row.columns)
+        apart = present.where("parent is null").unionByName(present.join(passed, "parent", "left_semi").select(present.columns))
+        again = _fold(apart, specs).select(F.coalesce("state.model", "feed.model").alias("model"), F.coalesce("state.synced_id", "feed.synced_id").alias("synced_id"), "state", "feed")
+        done = stored(again if keys is None else done.join(keys, key, "left_anti").unionByName(again), "applied")
         feed = done.where("feed is not null").select("feed.*")
         now = feed.where("accepted and action not in ('bulk_import', 'bulk_destroy')").select(F.col("place").alias("parent"))
         now = stored(now.join(parents, "parent", "left_semi"), "parents")
-        if now.join(passed, "parent", "left_anti").isEmpty() and passed.join(now, "parent", "left_anti").isEmpty():
-            break
+        turned = now.join(passed, "parent", "left_anti").unionByName(passed.join(now, "parent", "left_anti"))
+        keys = stored(rows.join(turned, "parent", "left_semi").select(*key).distinct(), "turned")
         passed = now
+        if keys.where("synced_id is not null").isEmpty():
+            break
+    present = rows.where("parent is null").unionByName(rows.join(passed, "parent", "left_semi").select(rows.columns))
     bad = bad.unionByName(present.where("synced_id is null").select(F.lit("no id").alias("reason"), "place", F.col("data").alias("detail")))
     return done.where("state is not null").select("state.*"), feed, bad
 

@@ -7,13 +7,14 @@ found from the labels alone, by one sorted pass per message and level.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirflow.functions import wire
+from weirflow.functions.jsontext import decoded, encoded
 from weirflow.functions.naming import classify, singular
 
 NODES = (
@@ -25,18 +26,6 @@ _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 _SCHEMA = pa.schema([(n, _ARROW[t]) for n, t in _FIELDS])
 
 
-def _reject(name: str):
-    raise ValueError(name)
-
-
-def _decode(text: str):
-    """The value of a JSON text; ValueError if it isn't valid. Texts nested beyond the parser's own stack count as invalid."""
-    try:
-        return json.loads(text, parse_constant=_reject)
-    except RecursionError as e:
-        raise ValueError("nested too deeply") from e
-
-
 def _list(value) -> list:
     return value if isinstance(value, list) else [value]
 
@@ -49,7 +38,7 @@ def _child_model(relation: str, links: dict) -> str:
 
 
 def _text(value) -> str | None:
-    return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return None if value is None else value if isinstance(value, str) else encoded(value)
 
 
 def walk(message_id: int, value: str | None, payload: bool) -> list[tuple]:
@@ -57,9 +46,9 @@ def walk(message_id: int, value: str | None, payload: bool) -> list[tuple]:
     if value is None:
         return []
     try:
-        envelope = _decode(value)
+        envelope = decoded(value)
         if isinstance(envelope, str):
-            envelope = _decode(envelope)
+            envelope = decoded(envelope)
     except ValueError:
         return []
     if not isinstance(envelope, dict) or envelope.get("message") is None:
@@ -96,7 +85,7 @@ def walk(message_id: int, value: str | None, payload: bool) -> list[tuple]:
             if payload:
                 nested = {key for *_, key, _, _ in inner}
                 plain = {k: v for k, v in record.items() if k not in nested and k not in ("links", "id")}
-                extra = [_text(record.get("id")), json.dumps(links, ensure_ascii=False), json.dumps(plain, ensure_ascii=False)]
+                extra = [_text(record.get("id")), encoded(links), encoded(plain)]
             else:
                 extra = [None, None, None]
             stack.append((None, len(nodes), 0, None, None, None))
@@ -106,21 +95,33 @@ def walk(message_id: int, value: str | None, payload: bool) -> list[tuple]:
     return nodes
 
 
+MOST_NODES = 8192  # handed on at once
+
+
+def _batch(found: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*found), _SCHEMA)], schema=_SCHEMA)
+
+
 def label(messages: DataFrame, payload: bool = True) -> DataFrame:
     """Nodes (see NODES) of every message_value: one row per record, with its interval and path.
 
     A top record's path is `<event position>/<record position>`; a record nested under a key that
     is also a key of its parent's `links` has the parent's path plus `/<key>:<position>`. Null
     messages, invalid JSON and envelopes without `message` give no row, nor do other objects and
-    what lies in them. Messages delivered again give their rows again. Without `payload` ids, links
-    and attributes are left null.
+    what lies in them. Messages delivered again give their rows again. Records and attributes may be
+    nested to any depth. Without `payload` ids, links and attributes are left null.
     """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            found = [n for m, v in zip(batch["message_id"].to_pylist(), batch["message_value"].to_pylist()) for n in walk(m, v, payload)]
-            columns = zip(*found) if found else [[] for _ in _FIELDS]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _SCHEMA)], schema=_SCHEMA)
+            found: list[list] = []
+            for m, v in zip(batch["message_id"].to_pylist(), batch["message_value"].to_pylist()):
+                found += walk(m, v, payload)
+                while len(found) >= MOST_NODES:
+                    yield _batch(found[:MOST_NODES])
+                    del found[:MOST_NODES]
+            if found:
+                yield _batch(found)
 
     return messages.select("message_id", "message_value").mapInArrow(nodes, NODES)
 
@@ -144,3 +145,27 @@ def link(nodes: DataFrame) -> DataFrame:
         .withColumn("parent_id", F.col("parent.id"))
         .drop("parent", "child", "level")
     )
+
+
+TIMES = ("created_at", "updated_at", "canceled_at")
+
+
+def node_table(nodes: DataFrame, model: str, attributes: dict[str, str] | None = None, links: tuple[str, ...] = ()) -> DataFrame:
+    """The flat table of one model out of all nodes (with payload), tied to the tables of its parents.
+
+    message_id and record_path name a row; parent_path, parent_model and parent_id the record that it lies in, by
+    interval containment, null for top records. Then id, the attributes (name: type; text, or null where the
+    type doesn't fit), the times in epoch microseconds, and the ids that the named links to one record have.
+    Names that neither record nor link has give null.
+    """
+    own = nodes.where(F.col("model_name") == model)
+    # Top records have no parent; nested ones are linked among all nodes, as their parents are of any model.
+    linked = link(nodes).where(F.col("model_name") == model)
+    every = own.where("depth = 0").unionByName(linked, allowMissingColumns=True)
+    of = lambda source, name: F.get_json_object(source, f"$['{name}']")
+    plain = [of("attributes", c).try_cast(t).alias(c) for c, t in (attributes or {"name": "string"}).items()]
+    times = [wire.epoch_us(of("attributes", c)).alias(c.removesuffix("_at") + "_us") for c in TIMES]
+    ids = [wire.whole_number(of("links", c)).alias(f"{c}_id") for c in links]
+    return every.select(
+        "message_id", "record_path", "parent_path", "parent_model", wire.whole_number(F.col("parent_id")).alias("parent_id"), wire.whole_number(F.col("record_id")).alias("id"), *plain, *times, *ids
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions import wire
+from weirflow.functions.naming import underscore
 from weirflow.operators import incremental, nested, once, orphans, replay
 from weirflow.sources.tables import OUTBOX, table
 
@@ -34,7 +35,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The present table with its columns: each has the value that the latest change naming it gave it."""
+    """The present table with its columns: each has the value that the latest change naming it gave it, also one before a removal (see p2_table)."""
     states = replay.replay(replay.feed_changes(table(spark, sf_dir, "deserialized_records")), _P2_KEYS, _P2_COLUMNS)
     stands = replay.present(states, _P2_KEYS, _P2_COLUMNS, clear=False)
     numbers = [F.col(c).cast("string").alias(c) for c in _P2_COLUMNS]  # as text: clients disagree on whole numbers with nulls
@@ -57,6 +58,29 @@ def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("message_id", "record_path", "relation", "record_id", "parent_id", "depth")
 
 
+# The links to one record that each model has in messages.
+NODE_LINKS = {
+    "Rental": ("account", "fee"), "Booking": ("client", "rental"), "Client": ("account",), "BookingsFee": ("fee",), "Tax": ("account",), "Fee": ("rentals_fee",), "Account": (),
+}
+
+
+def _node_table(model: str):
+    def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return nested.node_table(nested.label(table(spark, sf_dir, "messages")), model, {"name": "string"}, NODE_LINKS[model])
+
+    p3_table.__doc__ = f"Flat table of {model}, with the record that each one lies in."
+    p3_table.__name__ = f"p3_table_{underscore(model)}"
+    return p3_table
+
+
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The present table with its columns as a removal leaves them: a value counts only if it was set after the record's last removal."""
+    states = replay.replay(replay.feed_changes(table(spark, sf_dir, "deserialized_records")), _P2_KEYS, _P2_COLUMNS)
+    stands = replay.present(states, _P2_KEYS, _P2_COLUMNS)
+    numbers = [F.col(c).cast("string").alias(c) for c in _P2_COLUMNS]
+    return stands.select(*_P2_KEYS, F.shiftright("seq", 1).alias("version_us"), *numbers)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.due(table(spark, sf_dir, OUTBOX), table(spark, sf_dir, "outbox_runs")).select("run_no", "outbox_id")
 
@@ -96,7 +120,8 @@ def p5_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.select("producer", "lo", "hi")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_by_month, p2_found, p2_present, p3_found, p3_links, p3_tables, p4_found, p4_per_run, p5_found, p5_seen)}
+_NODE_TABLES = [_node_table(m) for m in NODE_LINKS]
+QUERIES = {q.__name__: q for q in (p1_found, p1_by_month, p2_found, p2_present, p2_table, *_NODE_TABLES, p3_found, p3_links, p3_tables, p4_found, p4_per_run, p5_found, p5_seen)}
 
 # --- the same in SQL -----------------------------------------------------------------------------
 
@@ -176,7 +201,43 @@ _NESTED = """WITH RECURSIVE texts AS (
       WHERE json_type(c) = 'OBJECT')
 """
 
+_RELATION_MODELS = " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in {**wire.LINK_MODELS, "rentals_fee": "RentalsFee", "owners": "Owner", "notes": "Note", "author": "Author", "attachments": "Attachment"}.items())
+_CHILD = f"CASE WHEN json_type(lv) = 'OBJECT' AND json_type(lv, '$.type') = 'VARCHAR' THEN lv ->> '$.type' ELSE CASE k {_RELATION_MODELS} END END"
+_TREE = _NESTED[: _NESTED.index("events AS")] + f"""events AS (SELECT message_id, unnest(range(len(l))) AS e, unnest(l) AS x FROM lists WHERE l IS NOT NULL),
+    datas AS (SELECT message_id, e, x ->> '$.model_name' AS model, json_extract(x, '$.data') AS d FROM events WHERE json_type(x) = 'OBJECT'),
+    datalists AS (SELECT message_id, e, model, CASE json_type(d) WHEN 'ARRAY' THEN json_extract(d, '$[*]') WHEN 'OBJECT' THEN [d] END AS l FROM datas),
+    tops AS (SELECT message_id, e, model, unnest(range(len(l))) AS p, unnest(l) AS r FROM datalists WHERE l IS NOT NULL),
+    nodes AS (
+      SELECT message_id, NULL::VARCHAR AS parent_path, NULL::VARCHAR AS parent_model, NULL::VARCHAR AS parent_id, e || '/' || p AS record_path, model, r FROM tops WHERE json_type(r) = 'OBJECT'
+      UNION ALL
+      SELECT message_id, parent_path, parent_model, parent_id, parent_path || '/' || k || ':' || n AS record_path, {_CHILD} AS model, c AS r FROM (
+        SELECT message_id, parent_path, parent_model, parent_id, k, lv, unnest(range(len(l))) AS n, unnest(l) AS c FROM (
+          SELECT message_id, record_path AS parent_path, model AS parent_model, r ->> '$.id' AS parent_id, k, json_extract(r, '$.links."' || k || '"') AS lv,
+            CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') WHEN 'OBJECT' THEN [v] END AS l FROM (
+            SELECT *, json_extract(r, '$."' || k || '"') AS v FROM (
+              SELECT *, unnest(json_keys(json_extract(r, '$.links'))) AS k FROM nodes WHERE json_type(json_extract(r, '$.links')) = 'OBJECT') a
+            WHERE k <> 'links') b) g WHERE l IS NOT NULL) h
+      WHERE json_type(c) = 'OBJECT'),
+    fields AS (SELECT *, r ->> '$.id' AS raw_id, r ->> '$.created_at' AS c, r ->> '$.updated_at' AS u, r ->> '$.canceled_at' AS x FROM nodes)
+"""
+
+
+def _of_table(model: str) -> str:
+    raw = lambda name: f"(r ->> '$.links.{name}')"
+    link = lambda name: f"CASE WHEN json_type(r, '$.links.{name}') NOT IN ('OBJECT', 'ARRAY') THEN {_id(raw(name))} END AS {name}_id"
+    return _TREE + f"""SELECT message_id, record_path, parent_path, parent_model, {_id('parent_id')} AS parent_id, {_id('raw_id')} AS id, r ->> '$.name' AS name,
+      {_us('c')} AS created_us, {_us('u')} AS updated_us, {_us('x')} AS canceled_us{''.join(', ' + link(c) for c in NODE_LINKS[model])} FROM fields WHERE model = '{model}'"""
+
+
 ORACLES = {
+    **{f"p3_table_{underscore(m)}": _of_table(m) for m in NODE_LINKS},
+    "p2_table": f"""WITH {_CHANGES}, last_gone AS (SELECT model, id, max(t * 2 + 1) FILTER (gone) AS g FROM changes GROUP BY model, id),
+      c AS (SELECT changes.*, t * 2 + gone::INT > coalesce(g, -9223372036854775808) AS after FROM changes JOIN last_gone USING (model, id))
+      SELECT model AS model_name, id AS synced_id, max(t) AS version_us,
+      (arg_max(synced_account_id, t * 2 + gone::INT) FILTER (synced_account_id IS NOT NULL AND after))::VARCHAR AS synced_account_id,
+      (arg_max(created_us, t * 2 + gone::INT) FILTER (created_us IS NOT NULL AND after))::VARCHAR AS created_us,
+      arg_max(name, t * 2 + gone::INT) FILTER (name IS NOT NULL AND after) AS name
+      FROM c GROUP BY model, id HAVING NOT arg_max(gone, t * 2 + gone::INT)""",
     "p1_found": _ORPHANS + "SELECT record_no, relation, target_id FROM orphans",
     "p1_by_month": _ORPHANS + "SELECT model, strftime(received_at, '%Y-%m') AS month, count(*) AS orphans FROM orphans GROUP BY 1, 2",
     "p2_found": f"WITH {_CHANGES} {_PRESENT}",
