@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 def spread(df: DataFrame, task_bytes: int = 32 << 20) -> DataFrame:
     """df over all cores if it is so small that its files would be read in fewer tasks than there are; larger tables are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * task_bytes else df
 
 
