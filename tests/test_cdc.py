@@ -454,6 +454,57 @@ def test_merge_prune_backfill(spark):
     assert apply.mapped(spec, ["type", "name", "unheard"]) == {"type": "rental_type", "name": "name"}
 
 
+def test_deduplicated_batches(spark):
+    record = lambda i, t=None, **k: {"id": i, "updated_at": t} | k
+    at = lambda s: f"2025-01-01T00:00:{s:02}Z"
+    batches = {
+        1: [_message("a_updated", record(1, at(5))), _message("a_updated", record(1, at(9))), _message("a_updated", record("1", at(7))), _message("b_updated", record(1, at(1))), _message("a_updated", record(None, at(5))), _message("a_updated", record(None, at(5)))],
+        2: [_message("a_updated", record(1, at(5))), _message("a_updated", record(1, at(9)), record(2, at(9)))],
+        3: [_message("a_updated", record(1, at(5))), None],
+        4: [_message("a_updated", record(1, at(5))), _message("a_updated", record(1)), {"message": []}, "{"],
+        5: [_message("a_updated", record(1, at(5))), _message("a_updated", record(1)), _message("a_updated", record(1, at(9)))],
+    }
+    data = [(b, b * 10 + i, None if m is None else m if isinstance(m, str) else json.dumps(m)) for b, ms in batches.items() for i, m in enumerate(ms)]
+    df = spark.createDataFrame(data, "b int, n bigint, message_value string").withColumn("first_n", F.lit("clash"))
+    got = sorted((r.n, r.first_arrival) for r in apply.deduplicated(df, ["b"], ["n"]).collect())
+    assert got == [(11, 10), (13, 13), (14, 14), (15, 15), *((n, n) for n in (20, 21, 30, 31, 40, 41, 42, 43)), (51, 50)]
+    assert apply.deduplicated(df.limit(0), ["b"], ["n"]).count() == 0
+
+
+def test_local_tables_and_links(spark):
+    spec = ModelSpec("Rental", ("rental_type", "size"), mapping={"rental_type": "type"}, created_column="born", updated_column=None, deleted_column="gone")
+    rows = spark.createDataFrame([(1, 10, 20, None, '{"type":"villa","size":"7","other":1}'), (2, None, None, 3, None), (3, None, None, None, '{"size":"x"}')], "synced_id bigint, created_us bigint, updated_us bigint, canceled_us bigint, synced_data string")
+    got = apply.local_table(rows, spec, {"size": "int"})
+    assert got.columns == ["synced_id", "rental_type", "size", "born", "gone"]
+    assert sorted(map(tuple, got.collect())) == [(1, "villa", 7, 10, None), (2, None, None, None, 3), (3, None, None, None, None)]
+    links = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id bigint, account bigint")
+    there = spark.createDataFrame([(5, 50)], "synced_id bigint, id bigint")
+    assert sorted(map(tuple, apply.resolve_to_one(links, "account", there, "synced_id", "account_id", "id").collect())) == [(1, 5, 50), (2, 6, None), (3, None, None)]
+
+
+def test_root_events_hold_the_changes_of_their_children(spark):
+    messages = [_message("rental_updated", {"id": 1, "name": "a", "links": {"bookings": [5]}, "bookings": [{"id": 5, "name": "b"}]}), _message("rental_updated", {"id": 1, "name": "a", "links": {"bookings": [5]}}), _message("rental_updated", {"id": None})]
+    _, feed, _ = _consume(spark, messages, [ModelSpec("Rental"), ModelSpec("Booking")])
+    events = {r.root_place: r for r in apply.root_events(feed, ["n"]).collect()}
+    first, second = (events[f"{n:012}/{0:012}/{0:012}"] for n in (0, 1))
+    assert {(c.model, c.attr, c.old, c.new) for c in first.local_changes} >= {("Rental", "name", None, "a"), ("Booking", "name", None, "b")}
+    assert second.local_changes == [] and second.event == "rental_updated" and len(events) == 2
+
+
+def test_replay_needs_a_model_that_the_topic_publishes(spark):
+    r = registry()
+    rows = spark.createDataFrame([(1, NOW), (2, ago(9))], "id bigint, updated_at timestamp_ntz")
+    got = genesis.replay(rows, r, r.topics[0], "Rental", start=ago(5), end=NOW)
+    assert sorted((x.id, x.event_name, x.topic) for x in got.collect()) == [(1, "rental_updated", "v3_rentals"), (1, "rental_updated", "v3_rentals_genesis")]
+    assert {x.topic for x in genesis.replay(rows, r, r.topics[0], "Rental", genesis_only=True).collect()} == {"v3_rentals_genesis"}
+    with pytest.raises(SpecError):
+        genesis.replay(rows, r, r.topics[0], "Tax")
+    snapshots = spark.createDataFrame([(1, ("x",))], "key bigint, record struct<a:string>")
+    assert snapshot.record_text(rows, snapshots, r.topics[0]).collect()[0].record == '{"a":"x"}'
+    assert json.loads(snapshot.record_text(rows.select("id"), snapshots, Topic("v3", "raw", serialize=False)).orderBy("key").collect()[0].record) == {"id": 1}
+    assert snapshot.tombstones(snapshots.select("key")).collect()[0].value is None
+
+
 def test_changesets_of_all_models_are_encrypted(spark, tmp_path):
     rows = [(n, model, "1", None, None, name, "updated") for n, (model, name) in enumerate([("Tax", "a"), ("Rental", "a"), ("Client", "a"), ("Rental", "b"), ("Client", "a")])]
     schema = "arrival_no bigint, model_name string, synced_id string, synced_canceled_at string, synced_account_id bigint, name string, event string"

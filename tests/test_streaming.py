@@ -42,6 +42,16 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     assert store.read("state").count() == 4
 
 
+def test_stream_removes_repeated_messages(spark, tmp_path):
+    spark.createDataFrame(_messages(), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    source = runners.file_source(spark, str(tmp_path / "in"), SCHEMA)
+    runners.consume(source, store, MODELS, ["n"], str(tmp_path / "checkpoint"), dedupe=True).awaitTermination(120)
+    state, _, _ = apply.consume(spark.createDataFrame(_messages(), SCHEMA), ["n"], MODELS)
+    pick = lambda df: sorted(map(tuple, df.select("synced_id", "updated_us", "synced_data").collect()))
+    assert pick(store.read("state")) == pick(state) and store.read("feed").count() == 4
+
+
 def test_stateful_gate_gives_what_the_window_gives(spark, tmp_path):
     data = [(i % 5, i, None if i % 7 else i, None if i % 3 == 0 else (i * 37) % 50) for i in range(120)]
     schema = "key bigint, arrival bigint, created bigint, updated bigint"

@@ -38,10 +38,30 @@ def dedupe_latest(rows: DataFrame, keys: list[str], time: str, arrival: str) ->
 def dedupe_applies(messages: DataFrame, batch: list[str], value: str = "message_value") -> DataFrame:
     """Per batch whether duplicates may be removed: every message has one event, and that one record."""
     events = decode._listed(F.try_variant_get(decode.envelope(F.col(value)), "$.message", "variant"))
-    single = (F.size(events) == 1) & F.coalesce(F.size(decode._listed(F.try_variant_get(events[0], "$.data", "variant"))) == 1, F.lit(False))
+    single = (F.size(events) == 1) & F.coalesce(F.size(decode._listed(F.try_variant_get(F.get(events, 0), "$.data", "variant"))) == 1, F.lit(False))
     return messages.groupBy(*batch).agg(F.count("*").alias("n_messages"), F.bool_and(F.coalesce(single, F.lit(False))).alias("applies"))
 
 
+def deduplicated(messages: DataFrame, batch: list[str], order: list[str], value: str = "message_value") -> DataFrame:
+    """Messages without repeated ones, in batches where that may be done (see dedupe_applies); all others as they are.
+
+    Of the messages of one event and id in a batch the latest stays (see dedupe_latest), by the record's
+    updated_at; it takes the place of the first (`first_arrival`, by the last of `order`). Messages without id are
+    never copies of each other. `order` must be total, its last column a whole number.
+    """
+    arrival = order[-1]
+    e = F.try_variant_get(decode.envelope(F.col(value)), "$.message", "variant")
+    first = F.get(decode._listed(e), 0)
+    record = F.get(decode._listed(F.try_variant_get(first, "$.data", "variant")), 0)
+    get = lambda v, path: F.try_variant_get(v, path, "string")
+    told = messages.withColumns({"__event": get(first, "$.event"), "__model": wire.model_key(get(first, "$.model_name")), "__id": wire.whole_number(get(record, "$.id")), "__time": wire.epoch_us(get(record, "$.updated_at"))})
+    told = told.join(dedupe_applies(messages, batch, value).where("applies").select(*batch, F.lit(True).alias("__applies")), batch, "left")
+    once = F.col("__applies") & F.col("__id").isNotNull()
+    others = told.where(~F.coalesce(once, F.lit(False))).select(*messages.columns, F.col(arrival).alias("first_arrival"))
+    latest = dedupe_latest(told.where(once), [*batch, "__event", "__model", "__id"], "__time", arrival)
+    return others.unionByName(latest.select(*messages.columns, "first_arrival"))
+
+
 # --- filters -------------------------------------------------------------------------------------
 
 
@@ -154,6 +174,25 @@ def mapped(spec: ModelSpec, columns: list[str]) -> dict[str, str]:
     return {c: local.get(c, c) for c in columns if not spec.attributes or local.get(c, c) in spec.attributes}
 
 
+def local_table(rows: DataFrame, spec: ModelSpec, types: dict[str, str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of a model's local table out of rows with synced_id, created_us, updated_us, canceled_us and synced_data (JSON of the canonical attributes).
+
+    Remote attributes go to local columns by the model's mapping; those that the model doesn't declare are dropped. The
+    times go to the columns that the model has for them, if it has them. `types` gives column types, text
+    by default; a value that doesn't fit is null. `keep` names columns that stay.
+    """
+    data = F.try_parse_json("synced_data")
+    local = [F.try_variant_get(data, f"$['{spec.mapping.get(c, c)}']", (types or {}).get(c, "string")).alias(c) for c in spec.attributes]
+    times = [(spec.created_column, "created_us"), (spec.updated_column, "updated_us"), (spec.deleted_column, "canceled_us")]
+    return rows.select(*keep, "synced_id", *local, *(F.col(us).alias(c) for c, us in times if c))
+
+
+def resolve_to_one(rows: DataFrame, link: str, target: DataFrame, key: str, out: str, local: str | None = None) -> DataFrame:
+    """Adds `out`: the local key of the target row that the link names, null where there is none. `target` has `key` once per row."""
+    found = target.select(F.col(key).alias("__key"), F.col(local or key).alias(out))
+    return rows.join(found, rows[link] == F.col("__key"), "left").drop("__key")
+
+
 # --- the whole consumer --------------------------------------------------------------------------
 
 STATE = "model string, synced_id bigint, created_us bigint, updated_us bigint, canceled_us bigint, synced_data string"
@@ -436,6 +475,18 @@ def local_changes(feed: DataFrame) -> DataFrame:
     )
 
 
+def root_events(feed: DataFrame, order: list[str]) -> DataFrame:
+    """One row per applied root record: root_place, event, model, synced_id, action and local_changes, an array of (model, synced_id, attr, old, new).
+
+    The changes of records that lie in it are its own too; they came with one message, so in one row.
+    """
+    root = F.substring_index("place", "/", len(order) + 2).alias("root_place")
+    changes = local_changes(feed).groupBy(root).agg(F.array_sort(F.collect_list(F.struct("model", "synced_id", "attr", "old", "new"))).alias("local_changes"))
+    told = feed.where("root and accepted").select(F.col("place").alias("root_place"), "event", "model", "synced_id", "action")
+    none = F.array().cast(changes.schema["local_changes"].dataType)
+    return told.join(changes, "root_place", "left").withColumn("local_changes", F.coalesce("local_changes", none))
+
+
 def batch_event(feed: DataFrame) -> DataFrame:
     """One row for the whole batch, also if nothing came: how many root events it reports, and how many of them were applied.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import naming
 from weirflow.operators.scan import positions
+from weirflow.plans.spec import Registry, Topic
 
 BATCH = 1000
 SAFETY_DELAY_S = 60
@@ -84,3 +85,16 @@ def replay_topic(topic: str) -> tuple[str, bool]:
     """(topic without the replica's ending, whether only the replica is meant)."""
     ending = naming.topic_name("", "", replica=True)[1:]
     return (topic.removesuffix(ending), True) if topic.endswith(ending) else (topic, False)
+
+
+def replay(table: DataFrame, registry: Registry, topic: Topic, model: str, genesis_only: bool = False, **conditions: Any) -> DataFrame:
+    """Records of a model to be published again in a topic: the rows of `scan` with event_name and topic, once for the topic and once for its replica, or for that alone.
+
+    A model that the topic doesn't publish itself, or a replica that it doesn't have, is an error.
+    """
+    registry.check_replay(topic, model, genesis_only)
+    spec = registry.models[model]
+    rows = scan(table, soft_delete=spec.soft_delete_column, **conditions)
+    gone = F.col(spec.soft_delete_column) if spec.soft_delete_column in rows.columns else None
+    names = ([] if genesis_only else [topic.full_name]) + ([topic.replica_name] if topic.genesis_replica else [])
+    return rows.withColumns({"event_name": naming.event_name(spec.resource, kind(gone)), "topic": F.explode(F.array(*map(F.lit, names)))})

@@ -116,6 +116,11 @@ def tombstones(keys: DataFrame) -> DataFrame:
     return keys.withColumn("value", F.lit(None).cast("string"))
 
 
+def record_text(rows: DataFrame, snapshots: DataFrame, topic: Topic, key: str = "id") -> DataFrame:
+    """What a topic's messages hold: key and record (JSON). Snapshots (key, record as struct), or the rows as they are for a topic that doesn't serialize."""
+    return snapshots.select("key", to_json(F.col("record")).alias("record")) if topic.serialize else raw(rows, key)
+
+
 def is_tombstone(value: Column) -> Column:
     """Null, or the JSON text null."""
     return value.isNull() | (F.btrim(value, F.lit(" \t\r\n")) == "null")

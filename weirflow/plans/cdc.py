@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import naming, wire
 from weirflow.operators import apply, classify, decode, fanout, genesis, incremental, outbox, snapshot
+from weirflow.plans import pipeline
 from weirflow.plans.spec import ModelSpec, Observation, Publication, Registry, Relation, Topic
 from weirflow.sources.tables import OUTBOX, table
 
@@ -644,6 +646,145 @@ def backfill_columns(spark, sf_dir):
     return apply.backfill(table(spark, sf_dir, "events"), {"k": "bigint", "missing": "string"}, "props").select("event_id", "k", "missing")
 
 
+_KEY_BATCH = "batch AS (SELECT *, offset_no // 2 AS b FROM m)"
+
+
+@query(
+    f"""WITH {_MESSAGE}, {_KEY_BATCH}, one AS (SELECT *, CASE WHEN json_type(msg) = 'ARRAY' THEN json_extract(msg, '$[0]') ELSE msg END AS e,
+        CASE WHEN json_type(msg) = 'ARRAY' AND json_array_length(msg) = 1 THEN CASE json_type(json_extract(msg, '$[0].data')) WHEN 'ARRAY' THEN json_array_length(json_extract(msg, '$[0].data')) = 1 WHEN 'OBJECT' THEN true END END AS single FROM batch),
+      data AS (SELECT *, bool_and(coalesce(single, false)) OVER (PARTITION BY topic, partition_no, b) AS applies, json_extract(e, '$.data') AS d FROM one),
+      told AS (SELECT *, CASE json_type(d) WHEN 'ARRAY' THEN json_extract(d, '$[0]') ELSE d END AS r FROM data),
+      keyed AS (SELECT message_id, topic, partition_no, b, applies, e ->> '$.event' AS event, lower(trim(e ->> '$.model_name')) AS model, {_ID.replace('synced_id', "(r ->> '$.id')")} AS id,
+        epoch_us(try_cast((r ->> '$.updated_at') AS TIMESTAMPTZ)) AS t FROM told)
+    SELECT message_id, message_id AS first_arrival FROM keyed WHERE NOT applies OR id IS NULL
+    UNION ALL SELECT message_id, min(message_id) OVER w AS first_arrival FROM keyed WHERE applies AND id IS NOT NULL WINDOW w AS (PARTITION BY topic, partition_no, b, event, model, id)
+    QUALIFY row_number() OVER (PARTITION BY topic, partition_no, b, event, model, id ORDER BY t DESC NULLS FIRST, CASE WHEN t IS NULL THEN -message_id ELSE message_id END) = 1"""
+)
+def dedupe_messages(spark, sf_dir):
+    """R-02, R-03: repeated messages removed within batches (here: two offsets of a partition) where every message has one record."""
+    rows = table(spark, sf_dir, "messages").withColumn("b", F.floor(F.col("offset_no") / 2))
+    return apply.deduplicated(rows, ["topic", "partition_no", "b"], ["message_id"]).select("message_id", "first_arrival")
+
+
+MAPPED = ModelSpec("Rental", ("title", "synced_account_id"), mapping={"title": "name"}, created_column="bookingsync_created_at", updated_column="bookingsync_updated_at", deleted_column=None)
+
+
+def _utc(c: str) -> str:
+    return f"epoch_us(try_cast(CASE WHEN regexp_matches(upper(trim({c})), '(Z|UTC|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN trim({c}) ELSE trim({c}) || 'Z' END AS TIMESTAMPTZ))"
+
+
+def _time(c: str) -> str:
+    return f"CASE WHEN regexp_full_match(trim({c}), '[0-9]+') THEN try_cast(trim({c}) AS BIGINT) * 1000 ELSE {_utc(c)} END"
+
+
+@query(
+    f"""WITH {_RECORDS}, top AS (SELECT *, r ->> '$.created_at' AS c, r ->> '$.updated_at' AS u, r ->> '$.id' AS raw_id FROM rec WHERE json_type(r) = 'OBJECT')
+    SELECT message_id, event_no::INT AS event_no, record_no::INT AS record_no, {_ID.replace('synced_id', 'raw_id')} AS synced_id, r ->> '$.name' AS title,
+      CASE WHEN json_type(r, '$.links.account') = 'OBJECT' THEN r ->> '$.links.account.id' WHEN json_type(r, '$.links.account') <> 'ARRAY' THEN r ->> '$.links.account' END AS synced_account_id,
+      {_time('c')} AS bookingsync_created_at, {_time('u')} AS bookingsync_updated_at FROM top"""
+)
+def mapped_columns(spark, sf_dir):
+    """C-07, C-08, C-09: top records as rows of a local table with a mapped attribute, times under other names, no soft-delete column, and nothing that the model doesn't declare."""
+    found = decode.records(decode.events(table(spark, sf_dir, "messages").select("message_id", "message_value")))
+    found = decode.canonical(found.where(F.try_variant_get("record", "$", "map<string,variant>").isNotNull()))
+    text = lambda k: F.try_variant_get(F.col("attributes")[k], "$", "string")
+    rows = found.select(
+        "message_id", "event_no", "record_no", wire.whole_number(text("synced_id")).alias("synced_id"), wire.epoch_us(text("synced_created_at")).alias("created_us"),
+        wire.epoch_us(text("synced_updated_at")).alias("updated_us"), wire.epoch_us(text("synced_canceled_at")).alias("canceled_us"), snapshot.to_json(F.col("attributes")).alias("synced_data"),
+    )
+    return apply.local_table(rows, MAPPED, keep=("message_id", "event_no", "record_no"))
+
+
+@query(
+    f"""WITH {_RECORDS}, links AS (SELECT message_id, event_no, record_no, r, unnest(json_keys(json_extract(r, '$.links'))) AS k FROM rec WHERE json_type(r) = 'OBJECT' AND json_type(json_extract(r, '$.links')) = 'OBJECT'),
+      one AS (SELECT *, json_extract(r, '$.links."' || k || '"') AS l, json_extract(r, '$."' || k || '"') AS v FROM links),
+      inner_ AS (SELECT *, CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[0]') ELSE v END AS c FROM one WHERE json_type(l) <> 'ARRAY')
+    SELECT message_id, event_no::INT AS event_no, record_no::INT AS record_no, CASE WHEN json_type(l) = 'OBJECT' THEN coalesce(l ->> '$.type', k) ELSE k END AS name, c ->> '$.id' AS child_id
+    FROM inner_ WHERE json_type(c) = 'OBJECT'"""
+)
+def has_one_records(spark, sf_dir):
+    """C-05, C-06: records embedded as to-one relations, named by the link's type where it has one."""
+    found = decode.canonical(decode.records(decode.events(table(spark, sf_dir, "messages").select("message_id", "message_value"))).where(F.try_variant_get("record", "$", "map<string,variant>").isNotNull()))
+    inner = decode.children(found, ["message_id", "event_no", "record_no"]).where("not to_many")
+    return inner.select("message_id", "event_no", "record_no", "name", F.try_variant_get("record", "$.id", "string").alias("child_id"))
+
+
+@query(
+    """SELECT o_orderkey, c_custkey AS customer_id, c_name AS customer_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c ON c_custkey = o_custkey"""
+)
+def resolve_to_one(spark, sf_dir):
+    """J-08: the local row that a to-one link names; null where it isn't there."""
+    there = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0")
+    orders = apply.resolve_to_one(table(spark, sf_dir, "orders"), "o_custkey", there, "c_custkey", "customer_id")
+    return apply.resolve_to_one(orders, "o_custkey", there, "c_custkey", "customer_name", "c_name").select("o_orderkey", "customer_id", "customer_name")
+
+
+@query("SELECT id, updated_at, loaded_at, resource_class || ':' || resource_id AS key, NULL::VARCHAR AS value FROM dionysus_outbox_without_changesets WHERE event_name LIKE '%destroyed'")
+def tombstone_messages(spark, sf_dir):
+    """K-12: a null message under the key of every record that was destroyed."""
+    gone = table(spark, sf_dir, OUTBOX).where(F.col("event_name").endswith("destroyed"))
+    keys = gone.select("id", "updated_at", "loaded_at", F.concat_ws(":", "resource_class", "resource_id").alias("key"))
+    return snapshot.tombstones(keys)
+
+
+@query(
+    """SELECT message_id, topic FROM messages UNION ALL SELECT message_id, topic || '_genesis' FROM messages WHERE topic = 'v3_rentals'"""
+)
+def genesis_replica_all(spark, sf_dir):
+    """K-01, K-11, P-12: messages of all topics, those of a topic with replica twice."""
+    rows = table(spark, sf_dir, "messages").select("message_id", "partition_key", F.col("message_key").alias("key"), F.col("topic").alias("own"))
+    replicas = {t.full_name: t for t in REGISTRY.topics if t.genesis_replica}
+    out = rows.where(~F.col("own").isin(*replicas)).select("message_id", F.col("own").alias("topic"))
+    for name, topic in replicas.items():
+        out = out.unionByName(snapshot.routed(rows.where(F.col("own") == name), topic).select("message_id", "topic"))
+    return out
+
+
+@query(
+    """SELECT record_no, CASE WHEN canceled_at IS NULL THEN 'rental_updated' ELSE 'rental_destroyed' END AS event_name, t AS topic
+    FROM serialized_records, (VALUES ('v3_rentals'), ('v3_rentals_genesis')) v(t) WHERE model_name = 'Rental' AND updated_at BETWEEN TIMESTAMP '2025-01-01' AND TIMESTAMP '2025-06-01'"""
+)
+def genesis_replay(spark, sf_dir):
+    """F-18, F-19, S-03 to S-06, K-11: a replay that the registry allows, for the topic and its replica."""
+    models = {**REGISTRY.models, "Rental": dataclasses.replace(REGISTRY.models["Rental"], soft_delete_column="canceled_at")}
+    found = genesis.replay(
+        table(spark, sf_dir, "serialized_records").drop("topic"), Registry(models, REGISTRY.topics), REGISTRY.topics[0], "Rental", start=dt.datetime(2025, 1, 1), end=dt.datetime(2025, 6, 1), where={"model_name": "Rental"}
+    )
+    return found.select("record_no", "event_name", "topic")
+
+
+@query(f"WITH {_LOG} SELECT arrival_no, model FROM seen WHERE NOT is_first AND (name IS DISTINCT FROM old_name OR account_id IS DISTINCT FROM old_account_id)")
+def observes_attributes_all(spark, sf_dir):
+    """F-17, U-03: changes of all models that touch an observed attribute."""
+    rows = _log(spark, sf_dir).where("not is_first").withColumn("changeset", classify.changeset(["account_id", "name", "canceled"]))
+    return rows.where(fanout.observes(F.col("changeset"), ["name", "account_id"])).select("arrival_no", "model")
+
+
+@query(
+    f"""WITH {pipeline._CHANGES}, here AS (SELECT model_name AS c, synced_id::VARCHAR AS i FROM ({pipeline._PRESENT}) p UNION ALL SELECT 'Account', synced_id::VARCHAR FROM accounts)
+    SELECT id, updated_at, loaded_at, resource_class, i IS NOT NULL AS found FROM dionysus_outbox_without_changesets LEFT JOIN here ON c = resource_class AND i = resource_id
+    WHERE i IS NOT NULL OR event_name LIKE '%destroyed'"""
+)
+def current_rows(spark, sf_dir):
+    """J-04, S-12, F-04: outbox rows of all models with their record as it is now, by class and id."""
+    own = pipeline.p2_found(spark, sf_dir).select(F.col("model_name").alias("resource_class"), F.col("synced_id").cast("string").alias("resource_id"))
+    accounts = table(spark, sf_dir, "accounts").select(F.lit("Account").alias("resource_class"), F.col("synced_id").cast("string").alias("resource_id"))
+    here = own.unionByName(accounts).withColumn("record", snapshot.to_json(F.struct(F.col("resource_id").alias("id"))))
+    return snapshot.current(table(spark, sf_dir, OUTBOX), here).select("id", "updated_at", "loaded_at", "resource_class", F.col("exists").alias("found"))
+
+
+@query(
+    """WITH n AS (SELECT l_orderkey AS k, max(l_shipdate) AS moment, 'S' AS status FROM lineitem GROUP BY 1)
+    SELECT coalesce(o_orderkey, k) AS o_orderkey, CASE WHEN k IS NOT NULL AND coalesce(moment >= o_orderdate, true) THEN moment ELSE o_orderdate END AS o_orderdate,
+      CASE WHEN k IS NOT NULL AND coalesce(moment >= o_orderdate, true) THEN status ELSE o_orderstatus END AS o_orderstatus FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) o FULL JOIN n ON k = o_orderkey"""
+)
+def upsert_orders(spark, sf_dir):
+    """K-05, J-05 on growing tables: orders merged with what their lines tell, by the gate."""
+    incoming = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("o_orderdate")).withColumn("o_orderstatus", F.lit("S"))
+    target = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    return apply.upsert(target, incoming, ["o_orderkey"], "o_orderdate")
+
+
 CONSUMER = [ModelSpec(m, soft_delete=m not in ("Client", "Tax")) for m in ("Booking", "Rental", "BookingsFee", "Client", "Fee", "Tax", "Account")]
 
 
@@ -664,6 +805,20 @@ def change_feed(spark, sf_dir):
     return apply.local_changes(feed)
 
 
+@query()
+def change_events(spark, sf_dir):
+    """K-08, A-07, C-11: one event per applied root record, with the changes of all records that came in it."""
+    _, feed, _ = apply.consume(table(spark, sf_dir, "messages"), ["message_id"], CONSUMER)
+    return apply.root_events(feed, ["message_id"])
+
+
+@query()
+def local_rentals(spark, sf_dir):
+    """C-07 to C-10: the consumer's rentals as rows of a local table with a mapped attribute and times under other names."""
+    state, _, _ = apply.consume(table(spark, sf_dir, "messages"), ["message_id"], CONSUMER)
+    return apply.local_table(state.where("model = 'Rental'"), MAPPED)
+
+
 @query()
 def consumer_rejects(spark, sf_dir):
     """R-10, F-07: what couldn't be applied, and why."""

@@ -45,10 +45,12 @@ def consume(
     transform: Callable[[DataFrame], DataFrame] | None = None,
     filters: list[tuple[str, Column]] | None = None,
     retries: int = 0,
+    dedupe: bool = False,
 ) -> StreamingQuery:
     """Apply every micro-batch of messages to the store's state, feed and rejects; ends when what is there is done.
 
-    `transform` sees the batch first. A batch is committed whole or not at all, under its id, so a
+    `transform` sees the batch first; with `dedupe` repeated messages are removed before it where that may
+    be done (see apply.deduplicated). A batch is committed whole or not at all, under its id, so a
     replayed one changes nothing twice; one that fails is tried again `retries` times, then the query
     fails and a restart takes it up.
     """
@@ -59,7 +61,11 @@ def consume(
         for left in range(retries, -1, -1):
             try:
                 with scratch(batch.sparkSession):
-                    rows = transform(batch) if transform else batch
+                    rows = batch
+                    if dedupe:
+                        rows = apply.deduplicated(batch.withColumn("__batch", F.lit(number)), ["__batch"], order).drop("__batch")
+                        rows = rows.drop(order[-1]).withColumnRenamed("first_arrival", order[-1])
+                    rows = transform(rows) if transform else rows
                     state, feed, rejects = apply.consume(rows, order, models, store.read("state"), filters)
                     store.commit(number, {"state": state}, {"feed": feed, "rejects": rejects})
                 return
