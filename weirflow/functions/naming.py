@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -46,6 +47,7 @@ def _inflected(name: str, rules: tuple[tuple[str, str], ...]) -> str:
     return name
 
 
+@functools.lru_cache(4096)
 def singular(name: str) -> str:
     """Singular of a relation name ("taxes", "categories", "statuses", "movies", "series"); a name without a plural's ending is its own."""
     return _inflected(name, SINGULARS)
@@ -56,6 +58,7 @@ def plural(name: str) -> str:
     return _inflected(name, _PLURALS)
 
 
+@functools.lru_cache(4096)
 def classify(name: str) -> str:
     """Model name of a singular relation name: "bookings_fee" gives "BookingsFee"."""
     return "".join(part[:1].upper() + part[1:] for part in name.split("_"))
