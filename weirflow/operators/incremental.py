@@ -118,6 +118,14 @@ def _ended(versions: DataFrame, block: int) -> DataFrame:
     return running(cut, ["id"], "block", ["updated_us"], "landed_us", "ended_us", combine=F.min, backwards=True, inclusive=False).drop("block")
 
 
+def _inside(points: DataFrame, intervals: DataFrame, key: str, value: str) -> DataFrame:
+    """Points that lie in the disjoint intervals of their key, for keys that are bounded in size; else see locate."""
+    ends = intervals.select(key, F.col("lo").alias("at"), F.lit(0).alias("tag"), F.col("hi").alias("reach"))
+    rows = ends.unionByName(points.withColumns({"at": F.col(value), "tag": F.lit(1)}), allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("at", "tag").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("reach", F.max("reach").over(before)).where("tag = 1 and reach >= at").drop("at", "tag", "reach")
+
+
 SLICE = 1 << 16  # numbers of the log whose intervals are kept together
 EPOCHS = 2  # commits in which the history of the runs is processed
 
@@ -165,7 +173,7 @@ def due(outbox: DataFrame, runs: DataFrame, epochs: int = EPOCHS, ledger: Ledger
         now = seen.where(F.col("epoch") == epoch)
         available = now.select("slice", F.col("n").alias("lo"), F.col("n").alias("hi"))
         left = stored(subtract(available, ledger.processed(INTERVALS), ["slice"]), "gaps")
-        taken = locate(now.withColumnRenamed("hi", "run_us"), left, "slice", "n", [], SLICE)
+        taken = _inside(now.withColumnRenamed("hi", "run_us"), left, "slice", "n")
         taken = taken.where(~F.col("published") & (F.col("ended_us").isNull() | (F.col("run_us") < F.col("ended_us"))))
         ledger.commit(taken.select("run_no", F.col("id").alias("outbox_id"), "updated_us"), left, ["slice"])
     return ledger.output()
