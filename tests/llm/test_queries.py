@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from weirflow.llm import queries
+from weirflow.llm import leak, queries
 from weirflow.sources.tables import table
 
 from .test_spans import brute
@@ -29,6 +29,21 @@ def test_spans_of_whole_texts_match_brute_force(spark):
     assert {tuple(r) for r in queries.p8_found(spark, SF).collect()} == brute(docs, 400)
 
 
+def test_leaks_of_whole_texts_match_brute_force(spark):
+    """Chains over all documents and items, without an index."""
+    items, want = {}, set()
+    for r in leak.passages(table(spark, SF, "eval_items")).collect():
+        items.setdefault(r.item_id, []).append((r.pos, r.term))
+    for d in table(spark, SF, "documents").select("doc_id", "text").collect():
+        at = {}
+        for n, w in enumerate(leak.words(d.text or "")):
+            at.setdefault(w, []).append(n)
+        for item, own in items.items():
+            if sum(w in at for _, w in own) >= leak.MIN_WORDS and leak.chain([(n, p) for p, w in own for n in at.get(w, ())])[0] >= leak.MIN_WORDS:
+                want.add((d.doc_id, item))
+    assert {tuple(r) for r in queries.p6_found(spark, SF).collect()} == want
+
+
 def test_mix_keeps_to_its_limits(spark):
     limits = {r.source.strip().lower(): (r.target_share, r.max_repeats) for r in table(spark, SF, "mix_targets").collect()}
     rows = queries.p7_mix(spark, SF).collect()
