@@ -666,7 +666,7 @@ def dedupe_messages(spark, sf_dir):
     return apply.deduplicated(rows, ["topic", "partition_no", "b"], ["message_id"]).select("message_id", "first_arrival")
 
 
-MAPPED = ModelSpec("Rental", ("title", "synced_account_id"), mapping={"title": "name"}, created_column="bookingsync_created_at", updated_column="bookingsync_updated_at", deleted_column=None)
+MAPPED = ModelSpec("Rental", ("title", "synced_account_id"), mapping={"title": "name"}, created_column="origin_created_at", updated_column="origin_updated_at", deleted_column=None)
 
 
 def _utc(c: str) -> str:
@@ -681,7 +681,7 @@ def _time(c: str) -> str:
     f"""WITH {_RECORDS}, top AS (SELECT *, r ->> '$.created_at' AS c, r ->> '$.updated_at' AS u, r ->> '$.id' AS raw_id FROM rec WHERE json_type(r) = 'OBJECT')
     SELECT message_id, event_no::INT AS event_no, record_no::INT AS record_no, {_ID.replace('synced_id', 'raw_id')} AS synced_id, r ->> '$.name' AS title,
       CASE WHEN json_type(r, '$.links.account') = 'OBJECT' THEN r ->> '$.links.account.id' WHEN json_type(r, '$.links.account') <> 'ARRAY' THEN r ->> '$.links.account' END AS synced_account_id,
-      {_time('c')} AS bookingsync_created_at, {_time('u')} AS bookingsync_updated_at FROM top"""
+      {_time('c')} AS origin_created_at, {_time('u')} AS origin_updated_at FROM top"""
 )
 def mapped_columns(spark, sf_dir):
     """C-07, C-08, C-09: top records as rows of a local table with a mapped attribute, times under other names, no soft-delete column, and nothing that the model doesn't declare."""
